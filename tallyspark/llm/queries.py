@@ -16,6 +16,16 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5
+    docs = _read(spark, sf_dir, "documents")
+    model = fit(docs, _read(spark, sf_dir, "labels").where(fold("doc_id") != 0))
+    scored = score(docs, model)
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import expand, read_back
 
@@ -35,6 +45,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_html_extraction": op2_html_extraction,
+    "op4_toxicity": op4_toxicity,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_pii": op9_pii,
 }
