@@ -16,6 +16,13 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, judge
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge(docs, fit(docs, _read(spark, sf_dir, "labels"))).drop("row", "n_grams")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score
 
@@ -45,6 +52,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_html_extraction": op2_html_extraction,
+    "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_pii": op9_pii,
