@@ -33,6 +33,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import decode, encode
+
+    both = decode(encode(_read(spark, sf_dir, "documents")))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "n_chunks", "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import expand, read_back
 
@@ -54,6 +61,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
+    "op6_sentencepiece": op6_sentencepiece,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_pii": op9_pii,
 }
