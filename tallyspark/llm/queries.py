@@ -10,6 +10,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_pages
 
@@ -57,13 +63,21 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(digest_column(BASE_KINDS).cast("binary"), 256).alias("base_sha256"), digest_column(KINDS).alias("spans"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import classes
+
+    return classes(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_html_extraction": op2_html_extraction,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_pii": op9_pii,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 #: the template's length: per turn its marks, role and escaped text; every reply repeats what stands before it

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 _MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
