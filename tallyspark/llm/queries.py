@@ -46,6 +46,13 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "n_chunks", "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove, repeats
+
+    left = remove(repeats(_read(spark, sf_dir, "documents")))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import expand, read_back
 
@@ -75,6 +82,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_pii": op9_pii,
     "op10_ngram_jaccard": op10_ngram_jaccard,
