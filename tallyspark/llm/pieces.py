@@ -35,9 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textbatch import chunks
+
 CHUNK = 32_768
 SPACE = "▁"
-KEEP = 1 << 19
+KEEP = 1 << 18
+#: bytes of text that a worker takes at once
+SLICE = 2 << 20
 State = tuple[int, int]  # start relative to the border (negative), piece
 BEGIN: State = (0, -1)
 
@@ -68,32 +72,70 @@ class Pieces:
             raise ValueError("a piece crosses a cut; this model isn't supported")
         self.prefixes = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
         self.fits: dict[int, bool] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        self.id = {p: i for p, i in self.id.items() if self.usable(p)}
         self.paths: dict[str, tuple[int, ...]] = {}
 
-    def segment(self, s: str) -> list[str]:
-        """BPE by its definition, for the short texts of pairs."""
-        parts = list(s)
-        while True:
+    def merged_from(self, p: str) -> tuple[str, str] | None:
+        """The two parts of a piece's last merge; None for single characters and for pieces
+        that merging never makes (BPE by its definition: the best pair first, leftmost on ties)."""
+        if p in self.halves:
+            return self.halves[p]
+        parts, last = list(p), None
+        while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 score = self.score.get(parts[i] + parts[i + 1])
                 if score is not None and (best is None or score > best):
                     best, at = score, i
             if at < 0:
-                return parts
+                last = None
+                break
+            last = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        self.halves[p] = last
+        return last
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether piece b may follow piece a; -1 is the start of a text or a lone character."""
+        """Whether piece b may follow piece a; -1 is the start of a text or a lone character.
+
+        Merging is run backwards from the pair: the piece that was made later is split into
+        its last merge, and a merge across the border that would have come before it (on
+        equal scores, one further left) rules the pair out.
+        """
         if a < 0 or b < 0:
             return True
         key = a * len(self.text) + b
         fit = self.fits.get(key)
         if fit is None:
-            x, y = self.text[a], self.text[b]
-            fit = self.fits[key] = self.segment(x + y) == [x, y]
+            fit = self.fits[key] = self._fit(self.text[a], self.text[b])
         return fit
 
+    def _fit(self, x: str, y: str) -> bool:
+        score = self.score
+        across = score.get(x + y)
+        if across is not None:
+            return False
+        while True:
+            whole_x, whole_y = len(x) == 1, len(y) == 1
+            if whole_x and whole_y:
+                return True
+            if whole_y or (not whole_x and score[x] < score[y]):
+                limit = score[x]
+                x = self.merged_from(x)[1]
+                across = score.get(x + y)
+                if across is not None and across > limit:
+                    return False
+            else:
+                limit = score[y]
+                y = self.merged_from(y)[0]
+                across = score.get(x + y)
+                if across is not None and across >= limit:
+                    return False
+
+    def usable(self, p: str) -> bool:
+        return len(p) == 1 or self.merged_from(p) is not None
+
     def starting(self, s: str, i: int) -> list[tuple[int, int]]:
         """(piece, end) of the pieces of s at i; -1 for a character the model lacks."""
         out = []
@@ -180,17 +222,21 @@ class Pieces:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.text[i])
-        out.append(raw.decode("utf-8", "replace"))
-        s = "".join(out).replace(SPACE, " ")
+        if self.byte_of.keys().isdisjoint(ids):
+            s = "".join(map(self.text.__getitem__, ids))
+        else:
+            out, raw = [], bytearray()
+            for i in ids:
+                if i in self.byte_of:
+                    raw.append(self.byte_of[i])
+                    continue
+                if raw:
+                    out.append(raw.decode("utf-8", "replace"))
+                    raw.clear()
+                out.append(self.text[i])
+            out.append(raw.decode("utf-8", "replace"))
+            s = "".join(out)
+        s = s.replace(SPACE, " ")
         return s[1:] if s.startswith(" ") else s
 
     # chunks
@@ -306,7 +352,7 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
-        for b in batches:
+        for b in (x for batch in batches for x in chunks(batch, "text", SLICE)):
             ids = [None if t is None else np.asarray(m.encode(t), dtype=np.int32) for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array([1] * len(ids), pa.int32())], names=["doc_id", "text", "ids", "n_chunks"])
 
@@ -318,7 +364,7 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
-        for b in batches:
+        for b in (x for batch in batches for x in chunks(batch, "s", SLICE)):
             out = []
             for r in b.to_pylist():
                 left, right, t = m.transfer(r["s"], r["at"], min(len(r["s"]), r["at"] + chunk), r["i"] == 0, r["i"] == r["n"] - 1)
@@ -344,7 +390,7 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
-        for b in batches:
+        for b in (x for batch in batches for x in chunks(batch, "s", SLICE)):
             rs = b.to_pylist()
             ids = [m.traced(r["s"], r["at"], min(len(r["s"]), r["at"] + chunk), tuple(r["x"]), tuple(r["y"])) for r in rs]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["key", "i", "ids"])
@@ -361,8 +407,8 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
-        for b in batches:
-            texts = [None if x is None else m.decode(x) for x in b.column(2).to_pylist()]
+        for b in (x for batch in batches for x in chunks(batch, "text", SLICE)):
+            texts = [None if not x.is_valid else m.decode(x.values.to_pylist()) for x in b.column(2)]
             yield pa.record_batch([*b.columns, pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "n_chunks", "decoded"])
 
     return encoded.select("doc_id", "text", "ids", "n_chunks").mapInArrow(task, "doc_id long, text string, ids array<int>, n_chunks int, decoded string")
