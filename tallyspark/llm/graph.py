@@ -19,9 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of few megabytes, so that a Python worker's memory doesn't follow the rows' length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return spark
+
+
 def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """The frame as a table in the shared folder, which cuts its lineage."""
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     path = os.path.join(shared_folder(spark), f"table-{uuid.uuid4().hex}")
     writer = df.write
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)

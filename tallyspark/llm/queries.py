@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    from .graph import small_batches
+
+    return small_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,7 +136,7 @@ class Words:
         return out, owner
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Slices of a batch with about ``limit`` bytes of text, at least one row each."""
     size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))), 0), dtype=np.int64)
     begin, total = 0, 0
