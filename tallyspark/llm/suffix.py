@@ -44,7 +44,7 @@ LENGTH = 400
 GRAM = 64
 BLOCKS = 1024
 #: bytes of surroundings that one suffix array takes
-SLICE = 2 << 20
+SLICE = 1 << 19
 ANCHOR = np.dtype([("anchor", "<u8"), ("around", "<u8"), ("text", "<i8"), ("doc", "<i8"), ("place", "<i4"), ("left", "<i4"), ("right", "<i4")])
 
 
