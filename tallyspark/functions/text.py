@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # fixed values
 SCALES = {"thousand": 1e3, "trillion": 1e12, "tril": 1e12, "billion": 1e9, "bill": 1e9, "bil": 1e9, "million": 1e6, "mill": 1e6, "mil": 1e6, "k": 1e3, "m": 1e6, "b": 1e9, "t": 1e12}
@@ -60,7 +61,7 @@ def plain(name: Column, stop_words: str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9 ]", " "), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(s: pd.Series) -> pd.Series:
     """Accents taken off (compatibility decomposition, ASCII only)."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
@@ -85,7 +86,7 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(small > 0, F.size(F.array_intersect(x, y)) / small).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block similarity of two names, letter case ignored."""
     return pd.Series([difflib.SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b)])
