@@ -179,13 +179,32 @@ class Pieces:
             else:
                 out.extend(self.byte[b] for b in chr(-2 - p).encode())
 
+    def through(self, s: str) -> list[int]:
+        """The one compatible path over s, longest pieces first.  A prefix has one path, so an
+        end that was met before needs no second visit."""
+        path: list[tuple[int, int]] = []
+        options, met, i = [self.starting(s, 0)], set(), 0
+        while i < len(s):
+            here, before = options[-1], path[-1][1] if path else -1
+            while here:
+                piece, k = here.pop()
+                if k not in met and self.compatible(before, piece):
+                    met.add(k)
+                    path.append((i, piece))
+                    options.append(self.starting(s, k) if k < len(s) else [])
+                    i = k
+                    break
+            else:
+                options.pop()
+                i = path.pop()[0]
+        return [p if p >= 0 else -2 - ord(s[at]) for at, p in path]
+
     def part(self, s: str) -> tuple[int, ...]:
         """Ids of a part between cuts, remembered."""
         ids = self.paths.get(s)
         if ids is None:
-            ends = self.reach(s, 0, -1, len(s))
             out: list[int] = []
-            self.emit(self.trace(s, ends, 0, len(s), next(iter(ends[len(s)]))), out)
+            self.emit(self.through(s), out)
             if len(self.paths) >= KEEP:
                 self.paths.clear()
             ids = tuple(out)
