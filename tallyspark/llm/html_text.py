@@ -4,10 +4,12 @@ The standard library's streaming parser turns a page into lines, one per block
 element.  Each line has its text, the number of tags it took and the block
 elements around it.  The text-to-tag ratios of the lines are smoothed with a
 Gaussian kernel and clustered against a threshold (a share of their standard
-deviation); runs of lines over it are content regions.  The page's article is the
-innermost of ``article``, ``main`` or the body that holds the largest content
-region; all of its lines that are not in boilerplate elements are returned, so
-that short paragraphs within an article stay.
+deviation); runs of lines over it are content regions.  All content regions of the
+page are returned, wherever they stand.  Lines under the threshold stay between
+content lines and in an ``article`` or ``main`` that holds a content line, so that
+short paragraphs stay; outside the innermost of these, lines that are mostly link
+text do not.  An ``article`` whose class, id or role names boilerplate goes unless
+it holds more of the page's content than all the rest.
 
 Boilerplate: nav, header, footer, aside, form, script, style, template and similar
 elements, and elements whose class, id or role names a menu, sidebar, advert,
@@ -63,14 +65,16 @@ def _hinted(attrs) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, boilerplate, ids of the open ROOTS) of each line."""
+    """Collects (text, tags, boilerplate, ids of the open ROOTS, whether mostly link text) of each line."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, bool, tuple[int, ...], bool]] = []
         self.open: list[tuple[str, bool]] = []
         self.roots: list[int] = []
         self.root_names: list[str] = []
+        self.root_hinted: list[bool] = []
+        self.links = self.linked = 0
         self.skipping = 0
         self.parts: list[str] = []
         self.tags = 0
@@ -78,9 +82,10 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = _WS.sub(" ", "".join(self.parts)).strip() if self.parts else ""
         if text:
-            self.lines.append((text, self.tags, self.skipping > 0, tuple(self.roots)))
+            self.lines.append((text, self.tags, self.skipping > 0, tuple(self.roots), 2 * self.linked > len(text)))
             self.tags = 0
         self.parts = []
+        self.linked = 0
 
     def handle_starttag(self, tag, attrs) -> None:
         if tag in BLOCK:
@@ -97,8 +102,10 @@ class Lines(HTMLParser):
             self.end_line()
         self.skipping += skip
         self.open.append((tag, skip))
+        self.links += tag == "a"
         if tag in ROOTS:
             self.root_names.append(tag)
+            self.root_hinted.append(tag == "article" and _hinted(attrs))
             self.roots.append(len(self.root_names) - 1)
 
     def handle_startendtag(self, tag, attrs) -> None:
@@ -111,6 +118,7 @@ class Lines(HTMLParser):
         if skip:
             self.end_line()
         self.skipping -= skip
+        self.links -= tag == "a"
         if tag in ROOTS:
             self.roots.pop()
         return tag
@@ -136,6 +144,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data) -> None:
         self.parts.append(data)
+        if self.links:
+            self.linked += len(_WS.sub(" ", data).strip())
 
     def close(self) -> None:
         super().close()
@@ -164,21 +174,39 @@ def extract(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD
     lines = parser.lines
     if not lines:
         return ""
-    ratios = smooth([0.0 if skip else len(text) / max(1, tags) for text, tags, skip, _ in lines], sigma)
+    raw = [0.0 if skip else len(text) / max(1, tags) for text, tags, skip, _, _ in lines]
+    ratios = smooth(raw, sigma)
     mean = sum(ratios) / len(ratios)
     spread = math.sqrt(sum((x - mean) ** 2 for x in ratios) / len(ratios))
     # a page of one even ratio is all content
-    content = [x >= min(mean, threshold * spread) and not line[2] for x, line in zip(ratios, lines)]
-    weight: dict[int, int] = {}
-    for inside, (text, _, _, roots) in zip(content, lines):
-        if inside:
-            root = roots[-1] if roots else -1
-            weight[root] = weight.get(root, 0) + len(text)
-    if not weight:
+    limit = min(mean, threshold * spread)
+    # links beside a content region do not take its ratio
+    content = [x >= limit and not skip and (not link or y >= limit) for x, y, (_, _, skip, _, link) in zip(ratios, raw, lines)]
+    doubtful = [any(parser.root_hinted[k] for k in roots) for _, _, _, roots, _ in lines]
+    weight = [0, 0]
+    for inside, doubt, line in zip(content, doubtful, lines):
+        weight[doubt] += inside * len(line[0])
+    gone = [skip or (doubt and weight[1] <= weight[0]) for doubt, (_, _, skip, _, _) in zip(doubtful, lines)]
+    chosen = [k for k, inside in enumerate(content) if inside and not gone[k]]
+    if not chosen:
         return ""
-    articles = {k: v for k, v in weight.items() if k >= 0 and parser.root_names[k] != "body"} or weight
-    best = max(articles, key=lambda k: (articles[k], -k))
-    return "\n".join(text for text, _, skip, roots in lines if not skip and (best == -1 or best in roots))
+    held: set[int] = set()
+    outer: set[int] = set()
+    for k in chosen:
+        own = [r for r in lines[k][3] if parser.root_names[r] != "body"]
+        held.update(own)
+        outer.update(own[:-1])
+
+    def stays(k: int) -> bool:
+        if content[k]:
+            return True
+        _, _, _, roots, link = lines[k]
+        own = next((r for r in reversed(roots) if r in held), None)
+        if own is not None and own not in outer:
+            return True
+        return not link and (own is not None or chosen[0] < k < chosen[-1])
+
+    return "\n".join(line[0] for k, line in enumerate(lines) if not gone[k] and stays(k))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

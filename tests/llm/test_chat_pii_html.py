@@ -110,6 +110,23 @@ def test_html_without_article():
     assert html_text.extract(page).split("\n")[0].startswith("Long text") and len(html_text.extract(page).split("\n")) == 2
 
 
+def test_html_all_content_regions():
+    def text(word, n=8):
+        return " ".join(f"The {word} part of this page has words that go on for a while." for _ in range(n))
+
+    beside = f"<body><div>{text('body', 30)}</div><article>Short teaser.</article></body>"
+    assert text("body", 30) in html_text.extract(beside).split("\n")
+    siblings = "".join(f"<article><h2>Head {w}</h2><p>{text(w, n)}</p><p>Ok.</p></article>" for w, n in (("first", 4), ("second", 9), ("third", 6)))
+    want = [x for w, n in (("first", 4), ("second", 9), ("third", 6)) for x in (f"Head {w}", text(w, n), "Ok.")]
+    assert html_text.extract(f"<body><div class=menu>m</div>{siblings}</body>").split("\n") == want
+    direct = f"<main><p>{text('direct', 3)}</p><article><p>{text('nested', 12)}</p></article><p>{text('last', 3)}</p></main>"
+    assert html_text.extract(direct).split("\n") == [text("direct", 3), text("nested", 12), text("last", 3)]
+    # links by a region, and comments of less weight, are no content; short lines between content lines are
+    links = "<div><a href=a>Home</a></div><div><a href=b>News</a></div>"
+    page = f"<body>{links}<div><p>{text('a')}</p><p>Ok.</p><p>No.</p><p>So.</p><p>Yes.</p><p>Go.</p><p>{text('b')}</p></div><article class=comment>{text('c', 3)}</article>{links}</body>"
+    assert html_text.extract(page).split("\n") == [text("a"), "Ok.", "No.", "So.", "Yes.", "Go.", text("b")]
+
+
 def test_html_edges(spark):
     assert [html_text.extract(x) for x in (None, "", "<nav>a</nav>", "plain", "<p>a<p>b", "<")] == ["", "", "", "plain", "a\nb", "<"]
     assert html_text.extract("<article>" + "<div>" * 3000 + "x" + "</div>" * 3000 + "</article>") == "x"
