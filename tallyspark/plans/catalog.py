@@ -350,6 +350,13 @@ def j09_either_key(spark, sf):
     return FI.either_key(docs, lines, "doc", ("l_partkey", "l_suppkey")).distinct()
 
 
+@query("""select p_partkey as doc, l_orderkey as filing from part join lineitem on p_partkey = l_partkey union select p_partkey, l_orderkey from part join lineitem on p_partkey = l_suppkey""")
+def j09_either_key_whole(spark, sf):
+    docs = A.table(spark, sf, "part").select(F.col("p_partkey").alias("doc"))
+    lines = A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("filing"), "l_partkey", "l_suppkey")
+    return FI.either_key(docs, lines, "doc", ("l_partkey", "l_suppkey")).distinct()
+
+
 @query(f"""with {S.HOLDINGS}, p as (select period, count(*) as n, count(distinct manager) as managers, (count(*) filter (stock <> 'Brand#13')) / count(*) as linked, row_number() over (order by period) as depth from holdings group by period),
 l as (select *, case when linked < 0.5 or depth < 2 then 'experimental' when linked < 0.8 or depth < 4 then 'usable_with_warning' else 'ready' end as level from p)
 select period, level, case when level = 'experimental' then 'show_setup_required' when level = 'ready' then 'normal' else 'show_with_warning' end as behavior,
@@ -397,6 +404,14 @@ def j15_fuzzy_names(spark, sf):
     return MA.fuzzy(left, right, 0.5).select("l_id", "r_id", F.round("score", 4).alias("score"))
 
 
+@query()
+def j15_fuzzy_names_whole(spark, sf):
+    p = A.table(spark, sf, "part")
+    left = p.select(F.col("p_name").alias("l_id"), F.col("p_name").alias("l_name")).distinct()
+    right = p.select(F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("r_name")).distinct().select(F.col("r_name").alias("r_id"), "r_name")
+    return MA.fuzzy(left, right, 0.5).select("l_id", "r_id", F.round("score", 4).alias("score"))
+
+
 @query("select o_orderkey, case when o_orderstatus = 'P' then m.c else o_custkey end as target from orders left join (select o_orderpriority as pr, min(o_custkey) as c from orders group by all) m on pr = o_orderpriority")
 def j07_fill_from(spark, sf):
     o = A.table(spark, sf, "orders")
