@@ -13,7 +13,10 @@ it holds more of the page's content than all the rest.
 
 Boilerplate: nav, header, footer, aside, form, script, style, template and similar
 elements, and elements whose class, id or role names a menu, sidebar, advert,
-notice, comment list and so on.  Character references are decoded, white space in
+notice, comment list and so on.  Within an ``article`` or ``main`` a name takes more:
+headings stay, paragraphs, sections and other parts of a text (PROSE) named so go only
+where their own text-to-tag ratio is under the threshold too, other elements go for a
+whole class, id or role token, or for a word of one with a ratio under it.  Character references are decoded, white space in
 a block becomes one space, blocks are joined by a line feed.
 
 A null or empty page gives an empty text; unclosed and misnested elements are
@@ -51,26 +54,37 @@ HINTS = frozenset(
     "recommendations comment comments reply replies disqus discussion widget toolbar pagination pager skip legal copyright disclaimer contentinfo complementary".split()
 )
 ROOTS = ("article", "main", "body")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset("p section blockquote pre figure figcaption table tr td th caption li dd dt".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _WS = re.compile(r"[\s\x00]+")
 
 
 def _hinted(attrs) -> bool:
+    return _hidden(attrs) or any(name in ("class", "id", "role") and value and any(w.lower() in HINTS for w in _WORD.findall(value)) for name, value in attrs)
+
+
+def _named(attrs) -> bool:
+    """Whether a whole token of the class, id or role is a hint."""
+    return any(name in ("class", "id", "role") and value and any(t.lower() in HINTS for t in value.split()) for name, value in attrs)
+
+
+def _hidden(attrs) -> bool:
     for name, value in attrs:
-        if name in ("class", "id", "role") and value and any(w.lower() in HINTS for w in _WORD.findall(value)):
-            return True
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
             return True
     return False
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, boilerplate, ids of the open ROOTS, whether mostly link text) of each line."""
+    """Collects (text, tags, boilerplate, ids of the open ROOTS, whether mostly link text, ids of the open doubtful elements) of each line."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...], bool]] = []
-        self.open: list[tuple[str, bool]] = []
+        self.lines: list[tuple[str, int, bool, tuple[int, ...], bool, tuple[int, ...]]] = []
+        self.open: list[tuple[str, bool, bool]] = []
+        self.doubts: list[int] = []
+        self.n_doubts = 0
         self.roots: list[int] = []
         self.root_names: list[str] = []
         self.root_hinted: list[bool] = []
@@ -82,7 +96,7 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = _WS.sub(" ", "".join(self.parts)).strip() if self.parts else ""
         if text:
-            self.lines.append((text, self.tags, self.skipping > 0, tuple(self.roots), 2 * self.linked > len(text)))
+            self.lines.append((text, self.tags, self.skipping > 0, tuple(self.roots), 2 * self.linked > len(text), tuple(self.doubts)))
             self.tags = 0
         self.parts = []
         self.linked = 0
@@ -98,10 +112,17 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         skip = tag in SKIP or (tag not in ("html", "body", *ROOTS) and _hinted(attrs))
-        if skip and not self.skipping:
+        doubt = False
+        if skip and tag not in SKIP and not _hidden(attrs) and any(self.root_names[r] != "body" for r in self.roots):
+            skip = tag not in HEADINGS and tag not in PROSE and _named(attrs)
+            doubt = not skip and tag not in HEADINGS
+        if doubt or (skip and not self.skipping):
             self.end_line()
         self.skipping += skip
-        self.open.append((tag, skip))
+        if doubt:
+            self.doubts.append(self.n_doubts)
+            self.n_doubts += 1
+        self.open.append((tag, skip, doubt))
         self.links += tag == "a"
         if tag in ROOTS:
             self.root_names.append(tag)
@@ -114,9 +135,11 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def pop(self) -> str:
-        tag, skip = self.open.pop()
-        if skip:
+        tag, skip, doubt = self.open.pop()
+        if skip or doubt:
             self.end_line()
+        if doubt:
+            self.doubts.pop()
         self.skipping -= skip
         self.links -= tag == "a"
         if tag in ROOTS:
@@ -124,7 +147,7 @@ class Lines(HTMLParser):
         return tag
 
     def close_upto(self, tag: str, barrier: set[str]) -> None:
-        for name, _ in reversed(self.open):
+        for name, _, _ in reversed(self.open):
             if name == tag:
                 while self.pop() != tag:
                     pass
@@ -164,6 +187,16 @@ def smooth(ratios: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
+def clusters(lines: list[tuple], sigma: float, threshold: float) -> tuple[list[float], list[float], float]:
+    """Text-to-tag ratios, their smoothed form and the limit for content."""
+    raw = [0.0 if line[2] else len(line[0]) / max(1, line[1]) for line in lines]
+    ratios = smooth(raw, sigma)
+    mean = sum(ratios) / len(ratios)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in ratios) / len(ratios))
+    # a page of one even ratio is all content
+    return raw, ratios, min(mean, threshold * spread)
+
+
 def extract(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
     """The main text of one page."""
     if not html:
@@ -174,19 +207,24 @@ def extract(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD
     lines = parser.lines
     if not lines:
         return ""
-    raw = [0.0 if skip else len(text) / max(1, tags) for text, tags, skip, _, _ in lines]
-    ratios = smooth(raw, sigma)
-    mean = sum(ratios) / len(ratios)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in ratios) / len(ratios))
-    # a page of one even ratio is all content
-    limit = min(mean, threshold * spread)
+    raw, ratios, limit = clusters(lines, sigma, threshold)
+    if parser.n_doubts:
+        # elements of a doubtful name go where all of their text has a low ratio
+        size, tags = [0] * parser.n_doubts, [0] * parser.n_doubts
+        for line in lines:
+            for k in line[5]:
+                size[k] += len(line[0])
+                tags[k] += line[1]
+        low = [n < limit * max(1, t) for n, t in zip(size, tags)]
+        lines = [(text, n, skip or any(low[k] for k in doubts), roots, link, doubts) for text, n, skip, roots, link, doubts in lines]
+        raw, ratios, limit = clusters(lines, sigma, threshold)
     # links beside a content region do not take its ratio
-    content = [x >= limit and not skip and (not link or y >= limit) for x, y, (_, _, skip, _, link) in zip(ratios, raw, lines)]
-    doubtful = [any(parser.root_hinted[k] for k in roots) for _, _, _, roots, _ in lines]
+    content = [x >= limit and not skip and (not link or y >= limit) for x, y, (_, _, skip, _, link, _) in zip(ratios, raw, lines)]
+    doubtful = [any(parser.root_hinted[k] for k in roots) for _, _, _, roots, _, _ in lines]
     weight = [0, 0]
     for inside, doubt, line in zip(content, doubtful, lines):
         weight[doubt] += inside * len(line[0])
-    gone = [skip or (doubt and weight[1] <= weight[0]) for doubt, (_, _, skip, _, _) in zip(doubtful, lines)]
+    gone = [skip or (doubt and weight[1] <= weight[0]) for doubt, (_, _, skip, _, _, _) in zip(doubtful, lines)]
     chosen = [k for k, inside in enumerate(content) if inside and not gone[k]]
     if not chosen:
         return ""
@@ -200,7 +238,7 @@ def extract(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD
     def stays(k: int) -> bool:
         if content[k]:
             return True
-        _, _, _, roots, link = lines[k]
+        _, _, _, roots, link, _ = lines[k]
         own = next((r for r in reversed(roots) if r in held), None)
         if own is not None and own not in outer:
             return True

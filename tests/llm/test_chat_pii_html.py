@@ -127,6 +127,14 @@ def test_html_all_content_regions():
     assert html_text.extract(page).split("\n") == [text("a"), "Ok.", "No.", "So.", "Yes.", "Go.", text("b")]
 
 
+def test_html_names_within_the_article():
+    long = "This part of the article has words that go on for quite a while. " * 6
+    parts = f'<section id="discussion"><h3>Discussion</h3><p>{long}a</p></section><h2 id="related-work">Related work</h2><p class="legal-basis">{long}b</p><p class="legal">{long}c</p>'
+    boxes = '<div class="share-buttons"><a href=x>Mail</a> <a href=y>Post</a></div><div class="comments"><p>' + long + "d</p></div>"
+    want = ["Discussion", long + "a", "Related work", long + "b", long + "c"]
+    assert html_text.extract(f"<body><article>{parts}{boxes}</article><p id=legal>{long}e</p></body>").split("\n") == want
+
+
 def test_html_edges(spark):
     assert [html_text.extract(x) for x in (None, "", "<nav>a</nav>", "plain", "<p>a<p>b", "<")] == ["", "", "", "plain", "a\nb", "<"]
     assert html_text.extract("<article>" + "<div>" * 3000 + "x" + "</div>" * 3000 + "</article>") == "x"
