@@ -6,6 +6,7 @@ import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.functions import dates as D
 from tallyspark.functions import numbers as N
@@ -277,8 +278,10 @@ def j12_exact_or_latest(spark, sf):
 def q09_watchlist_margin(spark, sf):
     n = A.prices(spark, sf).groupBy("stock").agg(F.max_by("close", F.struct("day", "event_id")).alias("price"), F.avg("close").alias("fair"))
     n = n.withColumn("margin", N.margin_of_safety(F.col("fair"), F.col("price")))
-    # the report's order needs one ranking of its few members
-    return n.select("stock", F.round("margin", 4).alias("margin"), F.row_number().over(Window.orderBy(F.desc_nulls_last("margin"), "stock")).cast("long").alias("place"))
+    # ranked by range: a sort over all tasks, then the count of each task's rows before the next one's places
+    n = n.orderBy(F.desc_nulls_last("margin"), "stock").select("stock", F.round("margin", 4).alias("margin"))
+    places = n.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    return spark.createDataFrame(places, T.StructType([*n.schema.fields, T.StructField("place", T.LongType())]))
 
 
 @query("""select o_orderkey, year(o_orderdate) || '-Q' || quarter(o_orderdate) as label, last_day(date_trunc('quarter', o_orderdate)::date + interval 2 month) as q_end,
