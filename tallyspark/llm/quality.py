@@ -9,9 +9,8 @@ is ``THRESHOLD`` or more.  Base rules come first: texts of under 50 words, or of
 over half of the words stand in repeated three-word windows, are rejected.
 
 All of it is DataFrame functions.  What a task receives is the ratio of every bucket, a
-fixed number of doubles.  The trusted set is at most ``TRUSTED_LIMIT`` labelled ids in
-the order of a hash of the id (a documented bound of a fitted sample); corpus counts
-cover all texts.  Counting is a partial aggregate, so that a hot source or a frequent
+fixed number of doubles at every size (``BUCKETS``).  The trusted set is every labelled
+id, joined as Spark chooses; corpus counts cover all texts.  Counting is a partial aggregate, so that a hot source or a frequent
 n-gram costs one row a task; scoring needs no shuffle.
 
 A null or empty text has no words and is rejected by the base rule; with no trusted
@@ -29,7 +28,6 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
 THRESHOLD = -0.2
-TRUSTED_LIMIT = 20_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WHITE = "[\\x20\\x09-\\x0D]+"
@@ -93,14 +91,13 @@ def buckets(text: Column, n_buckets: int = BUCKETS) -> Column:
     return let(tokens, lambda t: F.filter(F.concat(one(t), two(t)), lambda b: b.isNotNull()))
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
-    ids = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id", F.lit(True).alias("trusted"))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True))
 
 
 def fit(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS) -> list[float]:
     """log p_trusted - log p_raw of every bucket, add-one smoothed."""
-    ids = F.broadcast(trusted_ids(labels))  # at most TRUSTED_LIMIT rows
+    ids = trusted_ids(labels)
     grams = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("trusted", F.explode(buckets(F.col("text"), n_buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("trusted")).collect()  # at most n_buckets rows
     import math

@@ -88,3 +88,9 @@ def test_plan_is_native(spark):
     docs = spark.createDataFrame(rows(), "doc_id long, text string")
     plan = quality.judge(docs, [0.0] * 16)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_every_trusted_label_counts(spark):
+    n = 20_500
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert quality.trusted_ids(labels).count() == n
