@@ -119,8 +119,8 @@ class Words:
         if m == 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         acc = np.zeros(m, dtype=np.uint64)
-        for i in range(k):
-            acc[: m - i if i else m] = (acc[: m - i if i else m] * np.uint64(0x100000001B3)) + mix(self.hash[i:] + np.uint64(i + 1))
+        for i in range(min(k, m)):
+            acc[: m - i] = (acc[: m - i] * np.uint64(0x100000001B3)) + mix(self.hash[i:] + np.uint64(i + 1))
         whole = np.repeat(self.first[1:], n) - np.arange(m) >= k
         out, owner = mix(acc[whole]), doc[whole]
         short = np.flatnonzero((n > 0) & (n < k))
