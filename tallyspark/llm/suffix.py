@@ -11,17 +11,25 @@ brought together:
  1. Anchors.  In each ``LENGTH`` bytes, the place with the least hash of ``GRAM`` bytes is an
     anchor (ties: all).  Equal strings have equal anchors at equal places, so equal strings
     always meet in the block of their anchor's hash.  Texts that occur often are read once.
- 2. Blocks.  Anchors go to blocks by hash, with a hash of their surroundings (all bytes of
-    the strings that hold the anchor).  Anchors met once are done; equal surroundings
-    repeat as a whole, without reading a byte again.
- 3. Suffixes.  Anchors with differing surroundings, one of each kind, have their bytes
-    fetched; for these, a suffix array to the depth of ``LENGTH`` is built by rank doubling.
-    In suffix order, neighbours with a common prefix of ``LENGTH`` form runs; a suffix whose
-    previous smaller (or next smaller, or next greater) place is in its run has an earlier
-    (or later) match: its longest previous factor reaches ``LENGTH``.
+ 2. Blocks.  Anchors go to blocks by hash (as many as the input's bytes ask for), with a hash of
+    their surroundings (all bytes of the strings that hold the anchor).  Anchors met once are
+    done; surroundings that repeat as a whole need no byte again.  An anchor with more than
+    ``LARGE`` kinds of surroundings is split by the bytes that the strings reaching mostly to
+    its right, or mostly to its left, have in common.
+ 3. Suffixes.  Anchors with differing surroundings, one of each kind, have their bytes fetched.
+    A slice's suffixes that start at anchors are put in order, and so are the mirrored
+    prefixes that end there.  In either order the previous and the next smaller position (in
+    time) give the longest previous factor, and the greater ones the longest next factor.
+    The string that starts l bytes before an anchor can repeat only if the factor to the right
+    reaches ``LENGTH`` - l and that to the left l.  Where both do, common prefixes of neighbours
+    cut both orders into classes, and strings in the same two classes are equal.
  4. Removal.  Removed stretches of each text are united and cut out.
 
-Two joins move the distinct texts once each; anchors take about a tenth of the text.
+Bytes decide in step 3.  Whole surroundings are equal by two 64-bit hashes (of the anchor and
+of all the bytes), equal texts by one with the length mixed in: of 10**9 distinct texts about
+0.03 pairs, of 5 * 10**10 (100 TB) about 70, are expected to be taken for equal by chance.
+A group that shares one anchor and half of its surroundings in more than some 10**6 kinds still
+meets in one task, about 1 KB for each.
 
 A null text is an empty one; empty and short texts lose nothing; equal documents are
 repeats of each other; equal doc_ids are separate documents; an empty table gives no rows;
@@ -42,10 +50,15 @@ from .textbatch import batch_bytes, chunks, mix, prefix_hash, span_hash
 
 LENGTH = 400
 GRAM = 64
-BLOCKS = 1024
-#: bytes of surroundings that one suffix array takes
-SLICE = 1 << 19
-ANCHOR = np.dtype([("anchor", "<u8"), ("around", "<u8"), ("text", "<i8"), ("doc", "<i8"), ("place", "<i4"), ("left", "<i4"), ("right", "<i4")])
+#: bytes of text whose anchors one block holds
+BLOCK_BYTES = 1 << 19
+#: bytes of surroundings that one pair of suffix orders takes
+SLICE = 1 << 22
+#: kinds of surroundings from which on an anchor's group is split
+LARGE = 2048
+ANCHOR = np.dtype([("anchor", "<u8"), ("around", "<u8"), ("ahead", "<u8"), ("behind", "<u8"), ("text", "<i8"), ("doc", "<i8"), ("place", "<i4"), ("left", "<i4"), ("right", "<i4")])
+#: which strings of an anchor a group compares: those reaching mostly right, mostly left, or all
+RIGHT, LEFT, BOTH = 0, 1, 2
 
 
 def window_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -59,7 +72,8 @@ def window_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text index, place, anchor hash, surroundings' hash, bytes left, bytes right) of a batch."""
+    """(text index, place, anchor hash, surroundings' hash, hashes of the bytes common to strings
+    that reach mostly right and mostly left (0 if there are none), bytes left, bytes right)."""
     h = prefix_hash(data)
     at = np.arange(max(0, len(data) - gram + 1))
     hashes = span_hash(h, at, at + gram)
@@ -79,10 +93,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     start = np.maximum(offsets[doc], place - (length - gram))
     end = np.minimum(offsets[doc + 1], place + length)
     around = span_hash(h, start, end) ^ mix((place - start).astype(np.uint64) * np.uint64(100003) + (end - place).astype(np.uint64))
-    return doc, place - offsets[doc], hashes[place], around, place - start, end - place
+    half = (length - gram) // 2
+    ahead, behind = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
+    ok = end - place >= length - half
+    ahead[ok] = span_hash(h, place[ok], place[ok] + length - half) | np.uint64(1)
+    ok = place - start > half
+    behind[ok] = span_hash(h, place[ok] - half - 1, place[ok] + gram) | np.uint64(1)
+    return doc, place - offsets[doc], hashes[place], around, ahead, behind, place - start, end - place
 
 
-def anchor_blocks(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def anchor_blocks(texts: DataFrame, length: int, gram: int, n_blocks: int) -> DataFrame:
     """block, entries of the anchors of each task's distinct texts; texts: cls, doc_id, text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +110,7 @@ def anchor_blocks(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
         def pack(held: list[np.ndarray]) -> pa.RecordBatch:
             e = np.concatenate(held)
-            block = (mix(e["anchor"]) % np.uint64(BLOCKS)).astype(np.int64)
+            block = (mix(e["anchor"]) % np.uint64(n_blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             e, block = e[order], block[order]
             start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
@@ -106,13 +126,14 @@ def anchor_blocks(texts: DataFrame, length: int, gram: int) -> DataFrame:
             batch = batch.filter(pa.array(new, pa.bool_()))
             for b in chunks(batch, "text"):
                 data, offsets = batch_bytes(b.column(2))
-                doc, place, anchor, around, left, right = anchors(data, offsets, length, gram)
+                doc, place, anchor, around, ahead, behind, left, right = anchors(data, offsets, length, gram)
                 if not len(doc):
                     continue
                 e = np.empty(len(doc), ANCHOR)
                 e["text"] = b.column(0).to_numpy()[doc]
                 e["doc"] = b.column(1).fill_null(-(1 << 63)).to_numpy()[doc]
                 e["anchor"], e["around"], e["place"], e["left"], e["right"] = anchor, around, place, left, right
+                e["ahead"], e["behind"] = ahead, behind
                 held.append(e)
                 total += len(e)
                 if total > 1 << 18:
@@ -124,16 +145,16 @@ def anchor_blocks(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.mapInArrow(task, "block int, entries binary")
 
 
-FOUND = "cls long, start int, stop int, wanted boolean, anchor long, doc_id long, place int"
+FOUND = "cls long, start int, stop int, wanted boolean, key long, side int, doc_id long, place int"
 
 
-def meet(blocked: DataFrame, length: int, keep_first: bool) -> DataFrame:
+def meet(blocked: DataFrame, length: int, keep_first: bool, large: int = LARGE) -> DataFrame:
     """wanted false: stretches [start, stop) of texts that repeat as a whole; wanted true: one
     anchor of each surrounding in groups with several, whose bytes have to be compared."""
 
-    def emit(e: np.ndarray, wanted: bool) -> pa.RecordBatch:
-        cols = [e["text"], e["place"] - e["left"], e["place"] + e["right"], np.full(len(e), wanted), e["anchor"].view(np.int64), e["doc"], e["place"]]
-        return pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in cols], names=["cls", "start", "stop", "wanted", "anchor", "doc_id", "place"])
+    def emit(e: np.ndarray, wanted: bool, key: np.ndarray, side: int) -> pa.RecordBatch:
+        cols = [e["text"], e["place"] - e["left"], e["place"] + e["right"], np.full(len(e), wanted), key.view(np.int64), np.full(len(e), side, np.int32), e["doc"], e["place"]]
+        return pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in cols], names=["cls", "start", "stop", "wanted", "key", "side", "doc_id", "place"])
 
     def work(e: np.ndarray) -> Iterator[pa.RecordBatch]:
         e = e[np.lexsort((e["doc"], e["place"], e["text"], e["around"], e["anchor"]))]
@@ -146,10 +167,17 @@ def meet(blocked: DataFrame, length: int, keep_first: bool) -> DataFrame:
         many = np.bincount(kind)[kind] > 1
         whole = many & (e["left"] + e["right"] >= length)
         gone = whole & ~new_kind if keep_first else whole
-        yield emit(e[gone], False)
+        yield emit(e[gone], False, e["anchor"][gone], BOTH)
         group = np.cumsum(new_group) - 1
         kinds = np.bincount(group, weights=new_kind)[group]
-        yield emit(e[new_kind & (kinds > 1)], True)
+        some = e[new_kind & (kinds > 1) & (kinds <= large)]
+        yield emit(some, True, some["anchor"], BOTH)
+        many = e[new_kind & (kinds > large)]
+        for side, common in ((RIGHT, "ahead"), (LEFT, "behind")):
+            part = many[many[common] != 0]
+            key = mix(part["anchor"] ^ mix(part[common] + np.uint64(side)))
+            _, of, n = np.unique(key, return_inverse=True, return_counts=True)
+            yield emit(part[n[of] > 1], True, key[n[of] > 1], side)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -166,108 +194,150 @@ def meet(blocked: DataFrame, length: int, keep_first: bool) -> DataFrame:
     return blocked.repartition("block").sortWithinPartitions("block").mapInArrow(task, FOUND)
 
 
-def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of every suffix by its first ``length`` bytes (equal prefixes share a rank).
-
-    data is followed by ``length`` bytes of padding, whose suffixes aren't asked for.
-    """
-    n = len(data)
-    x = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(n, np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | x[i : i + n]
-    rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
-    depth = min(8, length)
-    while depth < length:
-        step = min(depth, length - depth)
-        later = np.zeros(n, np.int64)
-        later[: n - step] = rank[step:]
-        rank = np.unique(rank * np.int64(n + 1) + later, return_inverse=True)[1].astype(np.int64)
-        depth += step
-    return rank
-
-
-def factor_starts(pieces: list[np.ndarray], doc: np.ndarray, text: np.ndarray, begin: np.ndarray, length: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, offset) of the suffixes with an earlier or, unless keep_first, a later match.
-
-    pieces are stretches of texts; piece i starts at begin[i] of its text.
+def in_order(rows: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp): rows (byte strings of the given sizes, filled up with 0xFF, which no UTF-8 text
+    has) in suffix order by group, and each one's common prefix with the one before, -1 at a
+    group's first."""
+    n, width = rows.shape
+    keyed = np.empty((n, 8 + width), np.uint8)
+    keyed[:, :8] = group.astype(">u8").view(np.uint8).reshape(n, 8)
+    keyed[:, 8:] = rows
+    order = np.argsort(keyed.view(f"S{8 + width}").ravel(), kind="stable")
+    sorted_rows, g, s = rows[order], group[order], size[order]
+    lcp = np.full(n, -1, np.int64)
+    differs = sorted_rows[1:] != sorted_rows[:-1]
+    first = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+    lcp[1:] = np.where(g[1:] == g[:-1], np.minimum(first, np.minimum(s[1:], s[:-1])), -1)
+    return order, lcp
+
+
+def factors(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(longest previous factor, longest next factor) of each row; rows are numbered in time.
+
+    The longest match with an earlier row is the previous or the next smaller position's in
+    suffix order, the longest with a later row the previous or next greater one's.
     """
-    size = np.array([len(p) for p in pieces])
-    first = np.concatenate([[0], np.cumsum(size)])
-    data = np.concatenate([*pieces, np.zeros(length, np.uint8)])
-    rank = suffix_ranks(data, length)
-    count = np.maximum(0, size - length + 1)
-    own = np.repeat(np.arange(len(pieces)), count)
-    offset = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-    r, place = rank[first[own] + offset], begin[own] + offset
-    order = np.lexsort((place, text[own], doc[own], r))
-    r, t, p = r[order], text[own][order], place[order]
-    run = np.append(True, r[1:] != r[:-1])
-    # in a run, places ascend: the previous smaller place stands before, later matches after
-    differs = np.append(True, (t[1:] != t[:-1]) | (p[1:] != p[:-1])) | run
-    nth = np.cumsum(differs)
-    start = np.maximum.accumulate(np.where(run, np.arange(len(r)), 0))
-    earlier = nth > nth[start]
-    if keep_first:
-        hit = earlier
-    else:
-        stop = np.append(np.flatnonzero(run)[1:], len(r)) - 1
-        last = stop[np.cumsum(run) - 1] if len(r) else np.zeros(0, np.int64)
-        hit = earlier | (nth < nth[last])
-    return own[order[hit]], offset[order[hit]]
-
-
-def compare(wanted: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """Removed stretches cls, start, stop from wanted anchors: anchor, cls, doc_id, start, bytes."""
-
-    def work(rows: list[tuple]) -> pa.RecordBatch:
-        cls, doc = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        begin, pieces = np.array([r[3] for r in rows], np.int64), [np.frombuffer(r[4].as_buffer(), np.uint8) for r in rows]
-        own, offset = factor_starts(pieces, doc, cls, begin, length, keep_first)
-        t, p = cls[own], begin[own] + offset
-        order = np.lexsort((p, t))
-        t, p = t[order], p[order]
-        new = np.append(True, (t[1:] != t[:-1]) | (p[1:] > p[:-1] + length)) if len(t) else np.zeros(0, bool)
-        start = np.flatnonzero(new)
-        end = np.append(start[1:], len(p)) - 1 if len(p) else start
-        return pa.record_batch([pa.array(t[start]), pa.array(p[start].astype(np.int32)), pa.array((p[end] + length).astype(np.int32))], names=["cls", "start", "stop"])
+    n = len(order)
+    out = []
+    for time in (order, n - 1 - order):
+        best = np.full(n, -1, np.int64)
+        for t, c in ((time, lcp), (time[::-1], np.append(lcp[1:], -1)[::-1])):
+            at, low = np.arange(n) - 1, c.copy()
+            while True:
+                # a candidate that isn't smaller hands on its own candidate, behind which all are greater
+                ask = np.flatnonzero(at >= 0)
+                ask = ask[(t[at[ask]] > t[ask]) & (low[ask] >= 0)]
+                if not len(ask):
+                    break
+                via = at[ask]
+                low[ask], at[ask] = np.minimum(low[ask], low[via]), at[via]
+            found = np.where(at >= 0, low, -1)
+            best = np.maximum(best, found if c is lcp else found[::-1])
+        factor = np.empty(n, np.int64)
+        factor[order] = best
+        out.append(factor)
+    return out[0], out[1]
+
+
+def repeated_strings(ahead: np.ndarray, right: np.ndarray, behind: np.ndarray, left: np.ndarray, group: np.ndarray, side: np.ndarray, length: int, gram: int, keep_first: bool) -> np.ndarray:
+    """hit[row, l]: whether the string that starts l bytes before the row's anchor repeats (or, for
+    keep_first, has an earlier copy).  Rows are numbered in time; behind is mirrored."""
+    n, most, half = len(group), length - gram, (length - gram) // 2
+    hit = np.zeros((n, most + 1), bool)
+    r_order, r_lcp = in_order(ahead, right, group)
+    l_order, l_lcp = in_order(behind, left, group)
+    (r_before, r_after), (l_before, l_after) = factors(r_order, r_lcp), factors(l_order, l_lcp)
+    low = np.maximum(length - np.maximum(r_before, r_after), np.where(side == LEFT, half + 1, 0))
+    high = np.minimum(np.maximum(l_before, l_after), np.where(side == RIGHT, half, most))
+    some = np.flatnonzero(low <= high)
+    if not len(some):
+        return hit
+    names = [np.empty(n, np.int64), np.empty(n, np.int64)]
+    for i in range(int(low[some].min()), int(high[some].max()) + 1):
+        act = some[(low[some] <= i) & (i <= high[some])]
+        if len(act) < 2:
+            continue
+        names[0][r_order] = np.cumsum(r_lcp < length - i)
+        names[1][l_order] = np.cumsum(l_lcp < i)
+        name = names[0][act] * (n + 1) + names[1][act]
+        by = np.argsort(name, kind="stable")
+        same = name[by][1:] == name[by][:-1]
+        copy = np.append(False, same) if keep_first else np.append(False, same) | np.append(same, False)
+        hit[act[by[copy]], i] = True
+    return hit
+
+
+def compare(wanted: DataFrame, length: int, gram: int, keep_first: bool) -> DataFrame:
+    """Removed stretches cls, start, stop from wanted anchors: key, side, cls, doc_id, start, place, bytes."""
+
+    def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        key, side, cls, doc, start, place = (t.column(i).to_numpy() for i in range(6))
+        data = t.column(6).chunk(0).cast(pa.large_binary())
+        offset = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1 + data.offset)[data.offset :]
+        flat = np.frombuffer(data.buffers()[2], np.uint8)
+        time = np.lexsort((place, cls, doc))
+        group = np.unique(key, return_inverse=True)[1][time]
+        side, cls, start, place = side[time], cls[time], start[time], place[time]
+        left = (place - start).astype(np.int64)
+        right = np.diff(offset)[time] - left
+        at = offset[:-1][time] + left
+
+        def window(step: np.ndarray, size: np.ndarray, sign: int) -> np.ndarray:
+            inside = step[None, :] < size[:, None]
+            where = at[:, None] + (step if sign > 0 else -1 - step)[None, :]
+            return np.where(inside, flat[np.where(inside, where, 0)], np.uint8(255))
+
+        hit = repeated_strings(window(np.arange(length), right, 1), right, window(np.arange(length - gram), left, -1), left, group, side, length, gram, keep_first)
+        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, first = np.nonzero(edge == 1)
+        last = np.nonzero(edge == -1)[1] - 1
+        cols = [cls[row], (place[row] - last).astype(np.int32), (place[row] - first + length).astype(np.int32)]
+        return pa.record_batch([pa.array(c) for c in cols], names=["cls", "start", "stop"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, now = [], 0, None
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(4)], batch.column(4)):
-                if row[0] != now and size > SLICE:
-                    yield work(held)
-                    held, size = [], 0
-                now = row[0]
-                held.append(row)
-                size += len(row[4].as_buffer())
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            border = np.flatnonzero(np.append(now is None or key[0] != now, key[1:] != key[:-1]))
+            now = key[-1]
+            # groups stay whole: a slice ends at the last border once it is long enough
+            if size > SLICE and len(border):
+                cut = int(border[-1])
+                if cut:
+                    held.append(batch.slice(0, cut))
+                yield work(held)
+                held, size, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            size += batch.nbytes
         if held:
             yield work(held)
 
-    rows = wanted.select("anchor", "cls", "doc_id", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    rows = wanted.select("key", "side", "cls", "doc_id", "start", "place", "bytes").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(task, "cls long, start int, stop int")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, large: int = LARGE) -> DataFrame:
     """doc_id, text, n_bytes and spans (maximal removed runs [start, stop) of the UTF-8 bytes)."""
     if gram >= length:
         raise ValueError("anchors must be shorter than the strings")
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.xxhash64(text, F.octet_length(text)).alias("cls"), "doc_id", text.alias("text"))
     long = docs.where(F.octet_length("text") >= length)
-    found = written(meet(anchor_blocks(long, length, gram), length, keep_first))
+    n_blocks = max(64, (long.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // BLOCK_BYTES)
+    found = written(meet(anchor_blocks(long, length, gram, n_blocks), length, keep_first, large))
     whole = found.where("not wanted").select("cls", "start", "stop")
-    asked = found.where("wanted").groupBy("cls").agg(F.collect_list(F.struct("anchor", "doc_id", "start", "stop")).alias("asked"))
     texts = long.select("cls", F.col("text").cast("binary").alias("data")).dropDuplicates(["cls"])
-    wanted = texts.join(asked.hint("shuffle_hash"), "cls").select("cls", "data", F.explode("asked").alias("x"))
-    wanted = wanted.select("x.anchor", "cls", "x.doc_id", "x.start", F.substring("data", F.col("x.start") + 1, F.col("x.stop") - F.col("x.start")).alias("bytes"))
-    gone = whole.unionByName(written(compare(wanted, length, keep_first)))
+    part = F.substring("data", F.col("start") + 1, F.col("stop") - F.col("start")).alias("bytes")
+    wanted = found.where("wanted").join(texts, "cls").select("key", "side", "cls", "doc_id", "start", "place", part)
+    gone = whole.unionByName(written(compare(wanted, length, gram, keep_first)))
     # equal documents: all bytes of long ones repeat
     groups = long.groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
     cut = gone.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cut"))
     per_text = groups.join(cut, "cls", "left").where("copies > 1 or cut is not null")
-    rows = docs.join(per_text.hint("shuffle_hash"), "cls", "left")
+    rows = docs.join(per_text, "cls", "left")
     copy = F.col("copies") > 1 if not keep_first else (F.col("copies") > 1) & (F.col("doc_id") != F.col("first"))
 
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

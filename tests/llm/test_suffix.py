@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tallyspark.llm import suffix
@@ -42,11 +43,11 @@ def texts(seed, n=60):
     return rows + [(1000 + i, t) for i, (_, t) in enumerate(rows[:5])] + [(2000, None), (2001, ""), (2002, "a" * 300)]
 
 
-@pytest.mark.parametrize("keep_first", [False, True])
-def test_equals_brute_force(spark, keep_first):
-    rows = texts(1 + keep_first)
+@pytest.mark.parametrize("keep_first, large", [(False, 2048), (True, 2048), (False, 2), (True, 2)])
+def test_equals_brute_force(spark, keep_first, large):
+    rows = texts(1 + keep_first + large)
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, cls int").repartition(3)
-    assert run(df, length=30, gram=8, keep_first=keep_first) == brute(rows, 30, keep_first)
+    assert run(df, length=30, gram=8, keep_first=keep_first, large=large) == brute(rows, 30, keep_first)
 
 
 def test_documents(spark):
@@ -55,6 +56,35 @@ def test_documents(spark):
     assert run(df) == brute(rows, 400)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_factors(seed):
+    rng = np.random.default_rng(seed)
+    n = 60
+    rows, group = rng.integers(97, 99, (n, 12)).astype(np.uint8), np.sort(rng.integers(0, 3, n))
+    size = rng.integers(3, 13, n)
+    rows[np.arange(12)[None, :] >= size[:, None]] = 255
+    before, after = suffix.factors(*suffix.in_order(rows, size, group))
+
+    def common(i, j):
+        k = 0
+        while k < min(size[i], size[j]) and rows[i, k] == rows[j, k]:
+            k += 1
+        return k
+
+    for i in range(n):
+        assert max(before[i], 0) == max([common(i, j) for j in range(i) if group[i] == group[j]], default=0)
+        assert max(after[i], 0) == max([common(i, j) for j in range(i + 1, n) if group[i] == group[j]], default=0)
+
+
+def test_query(spark):
+    from tallyspark.llm.queries import QUERIES
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = QUERIES["op7_suffix_dedup"](spark, SF)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 400)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(1, "a" * 500), (1, "a" * 500)], "doc_id long, text string")
     assert [r[2] for r in run(df)] == [500, 500]
