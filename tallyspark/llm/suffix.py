@@ -53,7 +53,7 @@ GRAM = 64
 #: bytes of text whose anchors one block holds
 BLOCK_BYTES = 1 << 19
 #: bytes of surroundings that one pair of suffix orders takes
-SLICE = 1 << 22
+SLICE = 3 << 19
 #: kinds of surroundings from which on an anchor's group is split
 LARGE = 2048
 ANCHOR = np.dtype([("anchor", "<u8"), ("around", "<u8"), ("ahead", "<u8"), ("behind", "<u8"), ("text", "<i8"), ("doc", "<i8"), ("place", "<i4"), ("left", "<i4"), ("right", "<i4")])
@@ -319,8 +319,8 @@ def compare(wanted: DataFrame, length: int, gram: int, keep_first: bool) -> Data
     return rows.mapInArrow(task, "cls long, start int, stop int")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, large: int = LARGE) -> DataFrame:
-    """doc_id, text, n_bytes and spans (maximal removed runs [start, stop) of the UTF-8 bytes)."""
+def stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, large: int = LARGE) -> DataFrame:
+    """doc_id, text, n_bytes, all (the whole text goes) and cut (stretches that go, by start)."""
     if gram >= length:
         raise ValueError("anchors must be shorter than the strings")
     text = F.coalesce("text", F.lit(""))
@@ -340,38 +340,37 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first:
     rows = docs.join(per_text, "cls", "left")
     copy = F.col("copies") > 1 if not keep_first else (F.col("copies") > 1) & (F.col("doc_id") != F.col("first"))
 
-    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        for b in batches:
-            out = []
-            for n, all_, cut in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                spans: list[list[int]] = [[0, n]] if all_ else []
-                for x in () if all_ else cut or ():
-                    if spans and x["start"] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], x["stop"])
-                    else:
-                        spans.append([x["start"], x["stop"]])
-                out.append([{"start": s, "stop": e} for s, e in spans])
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(out, item)], names=["doc_id", "text", "n_bytes", "spans"])
+    return rows.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce(copy, F.lit(False)).alias("all"), "cut")
+
 
-    rows = rows.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce(copy, F.lit(False)).alias("all"), "cut")
-    return rows.mapInArrow(united, "doc_id long, text string, n_bytes long, spans array<struct<start:int,stop:int>>")
+def united(n: int, whole: bool, cut: list[dict] | None) -> list[list[int]]:
+    """Maximal removed runs [start, stop)."""
+    spans: list[list[int]] = [[0, n]] if whole else []
+    for x in () if whole else cut or ():
+        if spans and x["start"] <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], x["stop"])
+        else:
+            spans.append([x["start"], x["stop"]])
+    return spans
 
 
 def remove(found: DataFrame) -> DataFrame:
-    """doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans of the frame of ``repeats``."""
+    """doc_id, kept (the remaining bytes), n_bytes, n_removed, spans (maximal removed runs
+    [start, stop) of the UTF-8 bytes) of the frame of ``stretches``."""
+    item = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, removed, runs = [], [], []
-            for t, spans in zip(b.column(1).to_pylist(), b.column(3).to_pylist()):
-                data, at, parts = t.encode(), 0, []
-                for s in spans:
-                    parts.append(data[at : s["start"]])
-                    at = s["stop"]
+            for text, n, whole, cut in zip(b.column(1), *(b.column(i).to_pylist() for i in (2, 3, 4))):
+                spans = united(n, whole, cut)
+                data, at, parts = memoryview(text.as_buffer()), 0, []
+                for start, stop in spans:
+                    parts.append(data[at:start])
+                    at = stop
                 kept.append(b"".join([*parts, data[at:]]))
-                removed.append(len(data) - len(kept[-1]))
-                runs.append(len(spans))
-            yield pa.record_batch([b.column(0), pa.array(kept, pa.binary()), b.column(2), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+                removed.append(n - len(kept[-1]))
+                runs.append([{"start": x, "stop": y} for x, y in spans])
+            yield pa.record_batch([b.column(0), pa.array(kept, pa.binary()), b.column(2), pa.array(removed, pa.int64()), pa.array(runs, item)], names=["doc_id", "kept", "n_bytes", "n_removed", "spans"])
 
-    return found.mapInArrow(task, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return found.mapInArrow(task, "doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<start:int,stop:int>>")

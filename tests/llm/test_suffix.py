@@ -32,7 +32,7 @@ def brute(rows, length, keep_first=False):
 
 
 def run(df, **kw):
-    return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix.remove(suffix.repeats(df, **kw)).collect())
+    return sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffix.remove(suffix.stretches(df, **kw)).collect())
 
 
 def texts(seed, n=60):
