@@ -9,14 +9,17 @@ not be).  Paths between two given boundary states are unique for the same reason
 
 A text is split into chunks of ``CHUNK`` code points.  A chunk's transfer matrix has a
 row for each piece that may cover its left border and a column for each that may cover
-its right border.  Matrices combine associatively with the max-plus product; the scan
-over a text's chunks fixes the piece at each border, and every chunk is then traced
-back on its own.  Only texts longer than a chunk need more than one; those are spread
-over the cluster by chunk, matrices of a text (a few hundred numbers a chunk) meet in
-one row, and texts that occur often are encoded once.
+its right border.  Matrices combine associatively with the max-plus product.  The scan is
+parallel: of a text of n chunks, each group of about sqrt(n) neighbouring chunks is multiplied
+by a task of its own, the path over the groups' products fixes the piece at each group's
+borders, the groups fix those between their chunks side by side, and every chunk is then
+traced back on its own.  Only texts longer than a chunk need more than one; those are spread
+over the cluster by chunk, no row ever holds more than about sqrt(n) matrices (a few hundred
+numbers each), and texts that occur often are encoded once.
 
 Within a chunk, places where no piece can cross (before a space mark, around a line
-feed) cut the lattice into short parts, whose paths are remembered.
+feed, between two characters that no piece has side by side) cut the lattice into short
+parts, whose paths are remembered.
 
 A null text has null ids; an empty one has none; characters the model lacks become its
 byte pieces; equal rows give equal rows; an empty table gives no rows; further columns
@@ -26,6 +29,7 @@ which reads back as a space.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -35,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import written
 from .textbatch import chunks
 
 CHUNK = 32_768
@@ -46,8 +51,8 @@ State = tuple[int, int]  # start relative to the border (negative), piece
 BEGIN: State = (0, -1)
 
 
-class Pieces:
-    """The vocabulary and the lattice rules of one model file."""
+class Vocabulary:
+    """The pieces of one model file."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -68,13 +73,42 @@ class Pieces:
                 self.id[p] = i
                 self.score[p] = m.get_score(i)
         self.longest = max(map(len, self.id))
+
+    def decode(self, ids: list[int]) -> str:
+        if self.byte_of.keys().isdisjoint(ids):
+            s = "".join(map(self.text.__getitem__, ids))
+        else:
+            out, raw = [], bytearray()
+            for i in ids:
+                if i in self.byte_of:
+                    raw.append(self.byte_of[i])
+                    continue
+                if raw:
+                    out.append(raw.decode("utf-8", "replace"))
+                    raw.clear()
+                out.append(self.text[i])
+            out.append(raw.decode("utf-8", "replace"))
+            s = "".join(out)
+        s = s.replace(SPACE, " ")
+        return s[1:] if s.startswith(" ") else s
+
+
+class Pieces(Vocabulary):
+    """The vocabulary and the lattice rules of one model file."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
         if any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p) for p in self.id):
             raise ValueError("a piece crosses a cut; this model isn't supported")
-        self.prefixes = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
+        #: neighbouring characters that some piece has
+        self.inside = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.fits: dict[int, bool] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.id = {p: i for p, i in self.id.items() if self.usable(p)}
+        #: every start of a piece, with its id or -1
+        self.prefixes = {p[:k]: -1 for p in self.id for k in range(1, len(p) + 1)} | self.id
         self.paths: dict[str, tuple[int, ...]] = {}
+        self.begun: dict[str, list[tuple[int, int]]] = {}
 
     def merged_from(self, p: str) -> tuple[str, str] | None:
         """The two parts of a piece's last merge; None for single characters and for pieces
@@ -138,13 +172,13 @@ class Pieces:
 
     def starting(self, s: str, i: int) -> list[tuple[int, int]]:
         """(piece, end) of the pieces of s at i; -1 for a character the model lacks."""
-        out = []
+        out, prefixes = [], self.prefixes
         for k in range(i + 1, min(len(s), i + self.longest) + 1):
-            p = s[i:k]
-            if p not in self.prefixes:
+            piece = prefixes.get(s[i:k])
+            if piece is None:
                 break
-            if p in self.id:
-                out.append((self.id[p], k))
+            if piece >= 0:
+                out.append((piece, k))
         if s[i] not in self.id:
             out.append((-1, i + 1))
         return out
@@ -179,32 +213,61 @@ class Pieces:
             else:
                 out.extend(self.byte[b] for b in chr(-2 - p).encode())
 
+    def starts(self, s: str) -> list[tuple[int, int]]:
+        """(piece, length) of the pieces at the start of s, longest first, remembered."""
+        out = self.begun.get(s)
+        if out is None:
+            out = self.begun[s] = self.starting(s, 0)[::-1]
+            if len(self.begun) >= KEEP // 2:
+                self.begun.clear()
+        return out
+
     def through(self, s: str) -> list[int]:
         """The one compatible path over s, longest pieces first.  A prefix has one path, so an
         end that was met before needs no second visit."""
-        path: list[tuple[int, int]] = []
-        options, met, i = [self.starting(s, 0)], set(), 0
-        while i < len(s):
-            here, before = options[-1], path[-1][1] if path else -1
-            while here:
-                piece, k = here.pop()
-                if k not in met and self.compatible(before, piece):
-                    met.add(k)
-                    path.append((i, piece))
-                    options.append(self.starting(s, k) if k < len(s) else [])
-                    i = k
-                    break
+        fits, size, starts, n = self.fits, len(self.text), self.starts, len(s)
+        longest, met, path, ends, before = self.longest, set(), [], [0], -1
+        left = [iter(starts(s[:longest]))]
+        while True:
+            for piece, k in left[-1]:
+                end = ends[-1] + k
+                if end in met:
+                    continue
+                if before >= 0 and piece >= 0:
+                    key = before * size + piece
+                    fit = fits.get(key)
+                    if fit is None:
+                        fit = fits[key] = self._fit(self.text[before], self.text[piece])
+                    if not fit:
+                        continue
+                met.add(end)
+                path.append(piece if piece >= 0 else -2 - ord(s[end - 1]))
+                if end == n:
+                    return path
+                ends.append(end)
+                left.append(iter(starts(s[end : end + longest])))
+                before = piece
+                break
             else:
-                options.pop()
-                i = path.pop()[0]
-        return [p if p >= 0 else -2 - ord(s[at]) for at, p in path]
+                left.pop()
+                ends.pop()
+                path.pop()
+                before = path[-1] if path else -1
 
     def part(self, s: str) -> tuple[int, ...]:
-        """Ids of a part between cuts, remembered."""
+        """Ids of a part between cuts, remembered; a long one is cut where no piece can cross."""
         ids = self.paths.get(s)
         if ids is None:
-            out: list[int] = []
-            self.emit(self.through(s), out)
+            inside, out, begin = self.inside, [], 0
+            for i in range(1, len(s) if len(s) > 24 else 0):
+                if s[i - 1 : i + 1] not in inside:
+                    known = self.paths.get(s[begin:i])
+                    out.extend(known if known is not None else self.part(s[begin:i]))
+                    begin = i
+            if begin:
+                out.extend(self.part(s[begin:]))
+            else:
+                self.emit(self.through(s), out)
             if len(self.paths) >= KEEP:
                 self.paths.clear()
             ids = tuple(out)
@@ -240,24 +303,6 @@ class Pieces:
         self.middle(self.normal(text), out)
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        if self.byte_of.keys().isdisjoint(ids):
-            s = "".join(map(self.text.__getitem__, ids))
-        else:
-            out, raw = [], bytearray()
-            for i in ids:
-                if i in self.byte_of:
-                    raw.append(self.byte_of[i])
-                    continue
-                if raw:
-                    out.append(raw.decode("utf-8", "replace"))
-                    raw.clear()
-                out.append(self.text[i])
-            out.append(raw.decode("utf-8", "replace"))
-            s = "".join(out)
-        s = s.replace(SPACE, " ")
-        return s[1:] if s.startswith(" ") else s
-
     # chunks
 
     def is_cut(self, s: str, i: int) -> bool:
@@ -327,17 +372,23 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
+@lru_cache(maxsize=2)
+def load_vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product, associative."""
     return np.max(a[:, :, None] + b[None, :, :], axis=1, initial=-np.inf)
 
 
-def border_path(matrices: list[np.ndarray]) -> list[int]:
-    """Column chosen at each chunk's right border, on the best path through all."""
-    so_far = [matrices[0][:1]]
+def border_path(matrices: list[np.ndarray], row: int = 0, column: int | None = None) -> list[int]:
+    """Column chosen at each right border, on the best path through all from a row to a column
+    (the best one, if none is given)."""
+    so_far = [matrices[0][row : row + 1]]
     for m in matrices[1:]:
         so_far.append(product(so_far[-1], m))
-    at = int(np.argmax(so_far[-1][0]))
+    at = int(np.argmax(so_far[-1][0])) if column is None else column
     if not np.isfinite(so_far[-1][0, at]):
         raise ValueError("no path through the lattice")
     out = [at]
@@ -346,6 +397,11 @@ def border_path(matrices: list[np.ndarray]) -> list[int]:
     return out[::-1]
 
 
+def combined(matrices: list[np.ndarray]) -> np.ndarray:
+    """The product of neighbouring matrices."""
+    return reduce(product, matrices)
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -360,6 +416,44 @@ def _chunk_rows(texts: DataFrame, chunk: int, halo: int) -> DataFrame:
     return rows.select("key", "i", "n", F.substring("s", start + 1, F.lit(chunk + 2 * halo) - (halo - (F.col("i") * chunk - start))).alias("s"), (F.col("i") * chunk - start).cast("int").alias("at"))
 
 
+STATES = pa.list_(pa.list_(pa.int32()))
+STEP = [("left", STATES), ("right", STATES), ("m", pa.list_(pa.float64()))]
+STEP_SQL = "`left` array<array<int>>, `right` array<array<int>>, m array<double>"
+
+
+def _matrix(step: dict) -> np.ndarray:
+    return np.array(step["m"]).reshape(len(step["left"]), len(step["right"]))
+
+
+def borders_of(steps: DataFrame) -> DataFrame:
+    """key, i, x, y: the pieces at both borders of each chunk, from chunks' matrices key, i, g (group),
+    left, right, m.  Groups are multiplied, then the path over a text's groups is found, then
+    the path inside each group."""
+    groups = steps.groupBy("key", "g").agg(F.sort_array(F.collect_list(F.struct("i", "left", "right", "m"))).alias("steps"))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (r for b in batches for r in b.to_pylist()):
+            whole = combined([_matrix(x) for x in r["steps"]])
+            out = {"key": r["key"], "i": r["g"], "left": r["steps"][0]["left"], "right": r["steps"][-1]["right"], "m": whole.ravel().tolist()}
+            yield pa.RecordBatch.from_pylist([out], schema=pa.schema([("key", pa.string()), ("i", pa.int32()), *STEP]))
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # over a whole text x and y are null: it starts at its only row and may end at any column
+        for r in (r for b in batches for r in b.to_pylist()):
+            steps, x, y = r["steps"], r["x"], r["y"]
+            row = 0 if x is None else steps[0]["left"].index(x)
+            picked = border_path([_matrix(s) for s in steps], row, None if y is None else steps[-1]["right"].index(y))
+            right = [s["right"][k] for s, k in zip(steps, picked)]
+            out = [{"key": r["key"], "i": s["i"], "x": a, "y": b} for s, a, b in zip(steps, [steps[0]["left"][row], *right], right)]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("i", pa.int32()), ("x", pa.list_(pa.int32())), ("y", pa.list_(pa.int32()))]))
+
+    made = "key string, i int, x array<int>, y array<int>"
+    none = F.lit(None).cast("array<int>")
+    tops = groups.mapInArrow(multiply, "key string, i int, " + STEP_SQL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "left", "right", "m"))).alias("steps"))
+    ends = tops.select("key", "steps", none.alias("x"), none.alias("y")).mapInArrow(trace, made).withColumnRenamed("i", "g")
+    return groups.join(ends, ["key", "g"]).select("key", "steps", "x", "y").mapInArrow(trace, made)
+
+
 def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """doc_id, text, ids, n_chunks."""
     model = model or default_model()
@@ -387,25 +481,10 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
             out = []
             for r in b.to_pylist():
                 left, right, t = m.transfer(r["s"], r["at"], min(len(r["s"]), r["at"] + chunk), r["i"] == 0, r["i"] == r["n"] - 1)
-                out.append({"key": r["key"], "i": r["i"], "left": [list(x) for x in left], "right": [list(x) for x in right], "m": t.ravel().tolist()})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("i", pa.int32()), ("left", pa.list_(pa.list_(pa.int32()))), ("right", pa.list_(pa.list_(pa.int32()))), ("m", pa.list_(pa.float64()))]))
-
-    steps = rows.mapInArrow(matrices, "key string, i int, `left` array<array<int>>, `right` array<array<int>>, m array<double>")
-    steps = steps.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "left", "right", "m"))).alias("steps"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for key, steps in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                picked = border_path([np.array(x["m"]).reshape(len(x["left"]), len(x["right"])) for x in steps])
-                before = list(BEGIN)
-                for x, k in zip(steps, picked):
-                    out.append({"key": key, "i": x["i"], "x": before, "y": x["right"][k]})
-                    before = x["right"][k]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("i", pa.int32()), ("x", pa.list_(pa.int32())), ("y", pa.list_(pa.int32()))]))
+                out.append({"key": r["key"], "i": r["i"], "g": r["i"] // math.isqrt(r["n"]), "left": [list(x) for x in left], "right": [list(x) for x in right], "m": t.ravel().tolist()})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("i", pa.int32()), ("g", pa.int32()), *STEP]))
 
-    borders = steps.mapInArrow(scan, "key string, i int, x array<int>, y array<int>")
+    borders = borders_of(written(rows.mapInArrow(matrices, "key string, i int, g int, " + STEP_SQL)))
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
@@ -425,13 +504,10 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     model = model or default_model()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = load(model)
+        m = load_vocabulary(model)
         for b in (x for batch in batches for x in chunks(batch, "text", SLICE)):
             texts = [None if not x.is_valid else m.decode(x.values.to_pylist()) for x in b.column(2)]
             yield pa.record_batch([*b.columns, pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "n_chunks", "decoded"])
 
     return encoded.select("doc_id", "text", "ids", "n_chunks").mapInArrow(task, "doc_id long, text string, ids array<int>, n_chunks int, decoded string")
 
-
-def combine_all(matrices: list[np.ndarray]) -> np.ndarray:
-    return reduce(product, matrices)

@@ -49,8 +49,8 @@ def test_chunks_equal_one_chunk():
         assert ids == m.encode(t * 4), t
         # associative: any bracketing gives the same matrix
         if len(mats) > 2:
-            left = pieces.combine_all(mats)
-            right = pieces.product(mats[0], pieces.combine_all(mats[1:]))
+            left = pieces.combined(mats)
+            right = pieces.product(mats[0], pieces.combined(mats[1:]))
             assert np.array_equal(left, right)
 
 
@@ -63,3 +63,19 @@ def test_frames(spark, lib):
     for r in got:
         assert r.decoded == r.text and (r.ids == lib.encode(r.text) if r.text is not None else r.ids is None)
     assert pieces.encode(df.limit(0)).count() == 0
+
+
+def test_groups_fix_the_same_borders(spark):
+    """A long text of many chunks: borders from groups equal those of one scan over all."""
+    m, rng = pieces.load(MODEL), random.Random(8)
+    text = "".join(rng.choice(["believ", "ing", " ", "the", "x" * 40, "漢字", "\n", "é"]) for _ in range(900))
+    s, size = m.normal(text), 70
+    spans = [(a, min(len(s), a + size)) for a in range(0, len(s), size)]
+    steps = [m.transfer(s, a, b, a == 0, b == len(s)) for a, b in spans]
+    picked = pieces.border_path([x[2] for x in steps])
+    want = {i: list(x[1][k]) for i, (x, k) in enumerate(zip(steps, picked))}
+    rows = [("k", i, i // 7, [list(x) for x in left], [list(x) for x in right], t.ravel().tolist()) for i, (left, right, t) in enumerate(steps)]
+    df = spark.createDataFrame(rows, "key string, i int, g int, " + pieces.STEP_SQL)
+    got = {r.i: (list(r.x), list(r.y)) for r in pieces.borders_of(df).collect()}
+    assert {i: y for i, (_, y) in got.items()} == want
+    assert all(got[i][0] == (got[i - 1][1] if i else list(pieces.BEGIN)) for i in got)
