@@ -1,8 +1,8 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a text, per n-gram.
 
-Tokens are runs of word characters and runs of punctuation (``\\w+|[^\\w\\s]+``, letter
-case kept); features are all tokens and pairs of neighbours, hashed into ``BUCKETS``
-buckets.  Two multinomials with add-one smoothing are counted over buckets: one over
+Tokens are runs of letters, marks, digits and underscores in any script, and runs of anything
+else but white space (``TOKEN``, letter case kept); features are all tokens and pairs of
+neighbours, hashed into ``BUCKETS`` buckets.  Two multinomials with add-one smoothing are counted over buckets: one over
 trusted texts (labelled quality 1), one over every text of the corpus.  A text's score
 is the mean over its features of log p_trusted - log p_raw; it is kept when the score
 is ``THRESHOLD`` or more.  Base rules come first: texts of under 50 words, or of which
@@ -30,6 +30,7 @@ BUCKETS = 1 << 14
 THRESHOLD = -0.2
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+"
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -47,25 +48,35 @@ def repeated_words(w: Column) -> Column:
     """Words in three-word windows that the text has twice or more.
 
     A window's hash and its position share one long (position in the low bits, as many
-    as the text's length needs), so one sort of longs brings equal windows together.
+    as the text's length needs), so one sort of longs brings equal windows together; windows
+    with equal hashes are compared word by word.
     """
+    shift = lambda f, x, n: F.call_function(f, x, n)
 
     def count(w: Column, n: Column) -> Column:
-        bits = F.length(F.bin(n))
-        span = F.lit(2).cast("double") ** bits
-        scale = span.cast("long")
         window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-        keys = F.transform(F.sequence(F.lit(0), n - 3), lambda i: (window(i) - F.pmod(window(i), scale)) + i)
-        return let(scale, lambda m: let(F.sort_array(keys), lambda s: covered(s, m)))
 
-    def covered(s: Column, m: Column) -> Column:
-        top = lambda x: x - F.pmod(x, m)
-        same = lambda x, i: (top(x) == top(F.get(s, i - 1))) | (top(x) == top(F.get(s, i + 1)))
-        hits = F.filter(s, lambda x, i: F.coalesce(F.when(i > 0, top(x) == top(F.get(s, i - 1))), F.lit(False)) | F.coalesce(top(x) == top(F.get(s, i + 1)), F.lit(False)))
-        places = F.sort_array(F.transform(hits, lambda x: F.pmod(x, m)))
-        return let(places, lambda p: F.when(F.size(p) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.transform(p, lambda x, i: F.coalesce(F.least(F.lit(3).cast("long"), F.get(p, i + 1) - x), F.lit(3).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)))
+        def at(bits: Column) -> Column:
+            keys = F.transform(F.sequence(F.lit(0), n - 3), lambda i: shift("shiftleft", shift("shiftright", window(i), bits), bits).bitwiseOR(i.cast("long")))
+            low = (F.lit(2).cast("double") ** bits).cast("long") - 1
+            return let(low, lambda m: let(F.sort_array(keys), lambda s: covered(s, m, bits, w)))
 
-    return let(w, lambda w: let(F.size(w), lambda n: F.when(n < 4, F.lit(0).cast("long")).otherwise(count(w, n))))
+        return let(F.length(F.bin(n)).cast("int"), at)
+
+    def covered(s: Column, m: Column, bits: Column, w: Column) -> Column:
+        place = lambda x: x.bitwiseAND(m).cast("int")
+
+        def same(x: Column, y: Column) -> Column:
+            words_equal = F.lit(True)
+            for k in range(3):
+                words_equal = words_equal & (F.get(w, place(x) + k) == F.get(w, place(y) + k))
+            return F.coalesce(F.when(shift("shiftright", x, bits) == shift("shiftright", y, bits), words_equal), F.lit(False))
+
+        hits = F.filter(s, lambda x, i: F.when((i > 0) & same(x, F.get(s, i - 1)), True).otherwise(same(x, F.get(s, i + 1))))
+        places = F.sort_array(F.transform(hits, place))
+        return let(places, lambda p: F.when(F.size(p) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.transform(p, lambda x, i: F.coalesce(F.least(F.lit(3), F.get(p, i + 1) - x), F.lit(3)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)))
+
+    return let(w, lambda v: let(F.size(v), lambda n: F.when(n < 4, F.lit(0).cast("long")).otherwise(count(v, n))))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -85,10 +96,10 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 def buckets(text: Column, n_buckets: int = BUCKETS) -> Column:
     """Buckets of all tokens, then of all pairs of neighbouring tokens."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\w+|[^\w\s]+"), F.lit(0))
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
     one = lambda t: F.transform(t, lambda x: F.pmod(F.xxhash64(x), F.lit(n_buckets)).cast("int"))
-    two = lambda t: F.transform(t, lambda x, i: F.when(i > 0, F.pmod(F.xxhash64(F.get(t, i - 1), x), F.lit(n_buckets)).cast("int")))
-    return let(tokens, lambda t: F.filter(F.concat(one(t), two(t)), lambda b: b.isNotNull()))
+    two = lambda t: F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(F.get(t, i), x), F.lit(n_buckets)).cast("int"))
+    return let(tokens, lambda t: F.concat(one(t), two(t)))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

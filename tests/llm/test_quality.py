@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+import regex
 import xxhash
 
 from tallyspark.llm import quality
@@ -25,7 +26,7 @@ def brute_base(text):
 
 
 def brute_features(text, n):
-    t = re.findall(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]+", text or "", re.ASCII)
+    t = regex.findall(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_ \t\n\x0b\f\r]+", text or "")
     h = lambda s, seed=42: xxhash.xxh64_intdigest(s.encode(), seed)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     return [signed(h(x)) % n for x in t] + [signed(h(b, h(a))) % n for a, b in zip(t, t[1:])]
@@ -50,7 +51,7 @@ def test_base_counts(spark):
 
 
 def test_scores_equal_brute_force(spark):
-    data = rows()
+    data = [*rows(), (-1, "größe Größe, naïve e\u0301tude – 漢字かな\u00a0x_1 \u2003a")]
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     trusted = {r.doc_id for r in labels.where("quality = 1").collect()}
     docs = spark.createDataFrame(data, "doc_id long, text string")
