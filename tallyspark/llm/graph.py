@@ -1,14 +1,22 @@
-"""Connected components of a links table, and where intermediate results are kept."""
+"""Connected components of a links table, a filter of numbers, and where intermediate results are kept."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterator
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textbatch import mix
+
+#: the most bits of a filter
+FILTER_BITS = 1 << 26
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
@@ -34,6 +42,36 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _bits_of(x: np.ndarray, bits: int) -> np.ndarray:
+    x = np.asarray(x, np.int64).view(np.uint64)
+    return np.stack([(mix(x + np.uint64(i)) % np.uint64(bits)).astype(np.int64) for i in (1, 2)])
+
+
+def bit_filter(wanted: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A function for tasks that tells which numbers may be in the one column of wanted.
+
+    It lets all of these pass, and others by chance.  It has about 16 bits, two of them set,
+    for each, up to ``FILTER_BITS``; beyond that more others pass, which nothing asks for.
+    """
+    bits = min(FILTER_BITS, 1 << max(16, (16 * wanted.count()).bit_length()))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bit = _bits_of(b.column(0).to_numpy(), bits).ravel()
+            yield pa.record_batch([pa.array(bit >> 5), pa.array(np.int64(1) << (bit & 31))], names=["word", "mask"])
+
+    out = np.zeros(bits // 32, np.uint32)
+    got = wanted.mapInArrow(task, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most bits / 32 rows
+    out[got["word"].to_numpy()] = got["mask"].to_numpy().astype(np.uint32)
+    shared = wanted.sparkSession.sparkContext.broadcast(out.tobytes())
+
+    def passes(x: np.ndarray) -> np.ndarray:
+        bit = _bits_of(x, bits)
+        return ((np.frombuffer(shared.value, np.uint32)[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1).all(axis=0)
+
+    return passes
+
+
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """node, root: the smallest node that each node of links (a, b) reaches.
 

@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import written
-from .jaccard import FILTER_BITS, _filter_of
+from .graph import bit_filter, written
 from .textbatch import BASE, BASE_INV, batch_bytes, chunks, mix, powers, prefix_hash, span_hash
 
 EDITS = 2
 MIN_CHARS = 40
-BLOCKS = 1024
+#: distinct lines for each block of their entries
+BLOCK_LINES = 1024
 WIDE = 64
 #: pairs that one comparison step takes
 STEP = 1 << 20
@@ -137,7 +137,7 @@ def line_entries(texts: list[str], ids: np.ndarray, edits: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def entry_blocks(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def entry_blocks(docs: DataFrame, edits: int, min_chars: int, n_blocks: int) -> DataFrame:
     """block, entries of the distinct lines of each stretch of texts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def entry_blocks(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                 if not texts:
                     continue
                 e = line_entries(texts, x.h1[at].view(np.int64), edits)
-                block = (e["key"] % np.uint64(BLOCKS)).astype(np.int64)
+                block = (e["key"] % np.uint64(n_blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
                 e, block = e[order], block[order]
                 start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
@@ -224,27 +224,14 @@ def meet(blocked: DataFrame, edits: int) -> DataFrame:
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """line, text for at least the wanted lines."""
-    import xxhash
-
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted.withColumnRenamed("line", "row")))  # a fixed number of bits
+    passes = bit_filter(wanted)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint32)
-
-        def passes(line: int) -> bool:
-            h = xxhash.xxh64_intdigest(np.int64(line).tobytes(), 42)
-            for i in (1, 2):
-                bit = xxhash.xxh64_intdigest(np.int32(i).tobytes(), h)
-                bit = (bit - (1 << 64) if bit >> 63 else bit) % FILTER_BITS
-                if not int(bits[bit >> 5]) >> (bit & 31) & 1:
-                    return False
-            return True
-
         for batch in batches:
             for b in chunks(batch, "text"):
                 x = Lines(b.column(0))
                 ids, at = np.unique(x.h1.view(np.int64), return_index=True)
-                hit = [k for k, line in enumerate(ids.tolist()) if passes(line)]
+                hit = np.flatnonzero(passes(ids)).tolist()
                 raw = x.data.tobytes()
                 texts = [raw[x.start[at[k]] : x.end[at[k]]].decode() for k in hit]
                 yield pa.record_batch([pa.array(ids[hit]), pa.array(texts, pa.string())], names=["line", "text"])
@@ -322,7 +309,8 @@ def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     found = written(occurrences(keyed))
     first = F.min(F.struct("doc_id", "cls", "line")).alias("first")
     lines = written(found.groupBy("h1", "h2").agg(first))
-    pairs = written(meet(entry_blocks(keyed, edits, min_chars), edits))
+    n_blocks = max(64, lines.count() // BLOCK_LINES)
+    pairs = written(meet(entry_blocks(keyed, edits, min_chars, n_blocks), edits))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
     near = near_pairs(pairs, line_texts(keyed, wanted), edits)
     places = lines.groupBy(F.col("h1").alias("line")).agg(F.min("first").alias("first"))
@@ -333,14 +321,22 @@ def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     return gone.groupBy("doc_id", "cls").agg(F.array_distinct(F.collect_list("line")).alias("cut"), F.count_distinct(F.when(F.col("is_first"), F.col("line"))).alias("n_near"))
 
 
+def with_cuts(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """row (a struct of all columns of docs, ``text`` without the removed lines) and n_lines,
+    n_removed, n_near (longs: lines with a word, of which removed, of which only near)."""
+    cuts = removals(docs, edits, min_chars).select(F.col("doc_id").alias("id"), F.col("cls").alias("own"), "cut", "n_near")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"), F.xxhash64("text", F.octet_length("text")).alias("cls"))
+    rows = keyed.join(cuts, F.col("key").eqNullSafe(F.col("id")) & (F.col("cls") == F.col("own")), "left")
+    text = F.col("row")["text"]
+    kept = F.transform(F.split(text, "\n", -1), lambda x, i: F.when(F.array_contains("cut", i), F.lit(None)).otherwise(x))
+    new_text = F.when(F.col("cut").isNull(), text).otherwise(F.array_join(F.filter(kept, lambda x: x.isNotNull()), "\n"))
+    with_word = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.length(F.trim(x, F.lit(" \t\x0b\f\r"))) > 0))
+    own = [F.col("row")[c].alias(c) if c != "text" else new_text.alias("text") for c in docs.columns]
+    return rows.select(F.struct(*own).alias("row"), with_word.cast("long").alias("n_lines"), F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+
+
 def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with their columns, ``text`` without the removed lines, and n_lines,
-    n_removed, n_near (longs: lines with a word, of which removed, of which only near)."""
-    cuts = removals(docs, edits, min_chars).withColumnsRenamed({"doc_id": "__id", "cls": "__cls", "cut": "__cut", "n_near": "__near"})
-    keyed = docs.withColumn("__own", F.xxhash64("text", F.octet_length("text")))
-    rows = keyed.join(cuts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__cls")), "left")
-    kept = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(F.array_contains("__cut", i), F.lit(None)).otherwise(x))
-    new_text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(F.filter(kept, lambda x: x.isNotNull()), "\n"))
-    with_word = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.length(F.trim(x, F.lit(" \t\x0b\f\r"))) > 0))
-    own = [F.col(f"`{c}`") if c != "text" else new_text.alias("text") for c in docs.columns]
-    return rows.select(*own, with_word.cast("long").alias("n_lines"), F.coalesce(F.size("__cut"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__near", F.lit(0)).cast("long").alias("n_near"))
+    n_removed, n_near in place of own columns of these names."""
+    counts = ["n_lines", "n_removed", "n_near"]
+    return with_cuts(docs, edits, min_chars).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in counts], *counts)
