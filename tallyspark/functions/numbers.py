@@ -45,8 +45,9 @@ def manager_weight(turnover: Column, top_ten: Column, names: Column, streak: Col
     return F.when(turnover >= 0.6, 0.3).when((top_ten >= 0.5) & (names <= 25), 1.0).when(streak >= 4, 1.0).otherwise(0.6)
 
 
-def price_estimate(value_thousands: Column, shares: Column) -> Column:
-    return F.when((shares > 0) & (value_thousands > 0), value_thousands * 1000 / shares)
+def price_estimate(value: Column, shares: Column) -> Column:
+    """Value (in full, not in thousands) over shares, where both are positive."""
+    return F.when((shares > 0) & (value > 0), value / shares)
 
 
 def margin_of_safety(fair: Column, price: Column) -> Column:

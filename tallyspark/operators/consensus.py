@@ -7,54 +7,81 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import numbers as N
 
-from .latest import period_index, streaks
+from .latest import period_index
+
+EXACT = "decimal(18,4)"
 
 
 def positions(holdings: DataFrame) -> DataFrame:
     """manager, stock, period -> shares, value, weight (of the manager's period total), position_rank."""
-    p = holdings.groupBy("manager", "stock", "period").agg(F.sum("shares").alias("shares"), F.sum("value").alias("value"))
+    # sums of decimals, so that no result depends on the order of addition
+    add = lambda c: F.sum(F.col(c).cast(EXACT))
+    p = holdings.groupBy("manager", "stock", "period").agg(add("shares").cast("double").alias("shares"), add("value").alias("exact"))
     w = Window.partitionBy("manager", "period")
-    total = F.sum("value").over(w)
-    return p.select("*", F.coalesce(N.ratio(F.col("value"), total), F.lit(0.0)).alias("weight"), F.row_number().over(w.orderBy(F.desc("value"), "stock")).cast("long").alias("position_rank"))
+    total = F.sum("exact").over(w).cast("double")
+    p = p.withColumn("total", total).withColumn("value", F.col("exact").cast("double"))
+    total = F.col("total")
+    return p.select("manager", "stock", "period", "shares", "value", F.coalesce(N.ratio(F.col("value"), total), F.lit(0.0)).alias("weight"), F.row_number().over(w.orderBy(F.desc("value"), "stock")).cast("long").alias("position_rank"))
+
+
+def tracked(pos: DataFrame) -> DataFrame:
+    """Adds idx (of the period), held_before (in the period before), previous_shares, streak,
+    share_delta and action, all from one window over manager and stock."""
+    now = pos.join(period_index(pos, "period"), "period")
+    w = Window.partitionBy("manager", "stock").orderBy("idx")
+    held = F.coalesce(F.lag("idx").over(w) == F.col("idx") - 1, F.lit(False))
+    now = now.withColumn("held_before", held).withColumn("previous_shares", F.when(held, F.lag("shares").over(w)))
+    start = F.max(F.when(~F.col("held_before"), F.col("idx"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    now = now.withColumn("streak", F.col("idx") - start + 1)
+    change = N.share_change(F.col("shares"), F.col("previous_shares"))
+    return now.withColumns({"share_delta": change, "action": N.action(F.col("shares"), F.col("previous_shares"))})
 
 
 def actions(pos: DataFrame) -> DataFrame:
     """Adds previous_shares (of the period before, if held then), share_delta and action."""
-    idx = F.broadcast(period_index(pos, "period"))  # one row per period
-    now = pos.join(idx, "period")
-    w = Window.partitionBy("manager", "stock").orderBy("idx")
-    before = F.when(F.lag("idx").over(w) == F.col("idx") - 1, F.lag("shares").over(w))
-    out = now.withColumn("previous_shares", before).drop("idx")
-    return out.select("*", N.share_change(F.col("shares"), F.col("previous_shares")).alias("share_delta"), N.action(F.col("shares"), F.col("previous_shares")).alias("action"))
+    return tracked(pos).select(*pos.columns, "previous_shares", "share_delta", "action")
 
 
 def turnover(pos: DataFrame) -> DataFrame:
     """manager, period, turnover: stocks held in just one of a period and the one before, over stocks held in either."""
-    idx = period_index(pos, "period")
-    held = pos.join(F.broadcast(idx), "period").select("manager", "stock", "idx")
-    marks = held.select("manager", "stock", "idx", F.lit(1).alias("now"), F.lit(0).alias("was")).unionByName(held.select("manager", "stock", (F.col("idx") + 1).alias("idx"), F.lit(0).alias("now"), F.lit(1).alias("was")))
-    sides = marks.groupBy("manager", "stock", "idx").agg(F.max("now").alias("now"), F.max("was").alias("was"))
-    rate = sides.groupBy("manager", "idx").agg((F.count_if(F.col("now") != F.col("was")) / F.count("*")).alias("turnover"), F.max("now").alias("any_now"), F.max("was").alias("any_was"))
-    return rate.where("any_now = 1").join(F.broadcast(idx), "idx").select("manager", "period", F.when(F.col("any_was") == 1, F.col("turnover")).alias("turnover"))
+    return profiles(pos).select("manager", "period", "turnover")
 
 
 def profiles(pos: DataFrame) -> DataFrame:
     """manager, period: top_ten weight, names, mean_streak, turnover, kind and manager_weight."""
-    long = streaks(pos, ["manager", "stock"], "period")
-    rows = pos.join(long, ["manager", "stock", "period"])
+    rows = tracked(pos)
     top = F.sum(F.when(F.col("position_rank") <= 10, F.col("weight"))).alias("top_ten")
-    p = rows.groupBy("manager", "period").agg(top, F.count("*").alias("names"), F.avg("streak").alias("mean_streak"))
-    p = p.join(turnover(pos), ["manager", "period"], "left")
+    p = rows.groupBy("manager", "period", "idx").agg(top, F.count("*").alias("names"), F.avg("streak").alias("mean_streak"), F.count_if("held_before").alias("both"))
+    w = Window.partitionBy("manager").orderBy("idx")
+    p = p.withColumn("before", F.when(F.lag("idx").over(w) == F.col("idx") - 1, F.lag("names").over(w)))
+    return judged(p).select("manager", "period", "top_ten", "names", "mean_streak", "turnover", "kind", "manager_weight")
+
+
+def judged(p: DataFrame) -> DataFrame:
+    """Adds turnover, kind and manager_weight to rows with top_ten, names, mean_streak, both (names
+    held in the period before too) and before (names of that period, null if none)."""
+    either = F.col("names") + F.col("before") - F.col("both")
+    p = p.withColumn("turnover", (either - F.col("both")) / either)
     four = (F.coalesce("turnover", F.lit(0.0)), F.col("top_ten"), F.col("names"), F.col("mean_streak"))
-    return p.select("*", N.manager_kind(*four).alias("kind"), N.manager_weight(*four).alias("manager_weight"))
+    return p.withColumns({"kind": N.manager_kind(*four), "manager_weight": N.manager_weight(*four)})
 
 
 def signals(pos: DataFrame) -> DataFrame:
-    """All that a holder row of the consensus needs: action, streak, profile and signal."""
-    rows = actions(pos).join(streaks(pos, ["manager", "stock"], "period"), ["manager", "stock", "period"])
-    rows = rows.join(profiles(pos).select("manager", "period", "kind", "manager_weight", "turnover"), ["manager", "period"])
+    """All that a holder row of the consensus needs: action, streak, profile and signal.
+
+    The profile comes from range windows over a manager's periods, so positions are made once.
+    """
+    w = Window.partitionBy("manager").orderBy("idx")
+    now, last = w.rangeBetween(0, 0), w.rangeBetween(-1, -1)
+    rows = tracked(pos).withColumns({
+        "top_ten": F.sum(F.when(F.col("position_rank") <= 10, F.col("weight"))).over(now),
+        "names": F.count("*").over(now),
+        "mean_streak": F.avg("streak").over(now),
+        "both": F.count_if("held_before").over(now),
+        "before": F.nullif(F.count("*").over(last), F.lit(0)),
+    })
     sig = N.position_signal(F.col("weight"), F.col("position_rank"), F.col("streak"), F.col("action"))
-    return rows.select("*", sig.alias("signal"), N.price_estimate(F.col("value") / 1000, F.col("shares")).alias("price"))
+    return judged(rows).select("*", sig.alias("signal"), N.price_estimate(F.col("value"), F.col("shares")).alias("price"))
 
 
 def dashboard(sig: DataFrame, min_holders: int = 3) -> DataFrame:
@@ -77,7 +104,7 @@ def dashboard(sig: DataFrame, min_holders: int = 3) -> DataFrame:
         (F.sum(step * w) / F.sum(w)).alias("add_intensity"),
         F.least(F.lit(30.0), F.bround(F.least(F.max("weight") / 0.10, F.lit(1.0)) * 20 + F.least(ten / 2, F.lit(1.0)) * 10)).alias("position_importance"),
         one(F.median("streak"), 4, 25.0).alias("holding_persistence"),
-        one(F.avg("manager_weight"), 1, 20.0).alias("manager_quality"),
+        one(F.sum(F.col("manager_weight").cast("decimal(2,1)")).cast("double") / n, 1, 20.0).alias("manager_quality"),
         F.least(F.lit(15.0), F.bround(F.count_if(F.col("action").isin("new", "add")) / n * 15)).alias("recent_action"),
         one(n, 5, 10.0).alias("agreement"),
         (F.count_if(F.col("kind") == "unknown") / n).alias("unknown_share"),

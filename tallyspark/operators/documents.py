@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def compare(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
@@ -18,23 +23,35 @@ def conflicts(rows: DataFrame, slot: list[str], value: str, order: list[str]) ->
     return rows.groupBy(*slot).agg(F.count_distinct(F.struct(value)).alias("n_values"), seen.alias("observations")).where("n_values > 1")
 
 
+def _walk(text: str) -> Iterator[tuple[str, str | None]]:
+    """(path, value as written) of the leaves of one JSON text, at any depth, in document order."""
+    todo = [("", json.loads(text, parse_int=str, parse_float=str))]
+    while todo:
+        path, v = todo.pop()
+        if isinstance(v, dict):
+            todo += [(f"{path}.{k}" if path else k, x) for k, x in reversed(v.items())]
+        elif isinstance(v, list):
+            todo += [(f"{path}[{i}]", x) for i, x in reversed(list(enumerate(v)))]
+        else:
+            yield path, str(v).lower() if isinstance(v, bool) else v
+
+
 def leaves(df: DataFrame, ident: str, json: str) -> DataFrame:
-    """ident, path, value of every leaf of a JSON column: objects as a.b, lists as a[0]; containers without leaves give none.
+    """ident, path, value of every leaf of a JSON column at any depth: objects as a.b, lists as a[0].
 
-    Paths come from Spark's own variant explode, level by level, until no container is left.
+    Numbers stay as written, true and false are words, a JSON null is a null value; containers
+    without leaves and null texts give no rows; a malformed text is an error.  One pass over
+    the rows, without a shuffle.
     """
-    level = df.select(ident, F.lit("").alias("path"), F.parse_json(json).alias("v"))
-    out = None
-    kind = F.schema_of_variant("v")
-    for _ in range(8):
-        level = level.withColumn("k", kind)
-        flat = level.where(~F.col("k").startswith("OBJECT") & ~F.col("k").startswith("ARRAY")).select(ident, "path", F.col("v").cast("string").alias("value"))
-        out = flat if out is None else out.unionByName(flat)
-        deep = level.where(F.col("k").startswith("OBJECT") | F.col("k").startswith("ARRAY"))
-        step = F.when(F.col("x.key").isNull(), F.concat("path", F.lit("["), F.col("x.pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("x.key")).otherwise(F.concat("path", F.lit("."), "x.key"))
-        deep.createOrReplaceTempView("__tally_level")
-        level = df.sparkSession.sql(f"select t.{ident}, t.path, x.pos, x.key, x.value from __tally_level t, lateral variant_explode(t.v) x").select(ident, "path", F.struct("pos", "key").alias("x"), F.col("value").alias("v")).select(ident, step.alias("path"), "v")
-    return out
+    kind = df.schema[ident].dataType
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, *leaf) for i, text in enumerate(b.column(1).to_pylist()) if text is not None for leaf in _walk(text)]
+            at, paths, values = zip(*found) if found else ((), (), ())
+            yield pa.record_batch([b.column(0).take(pa.array(at, pa.int64())), pa.array(paths, pa.string()), pa.array(values, pa.string())], names=[ident, "path", "value"])
+
+    return df.select(ident, json).mapInArrow(task, StructType([StructField(ident, kind), StructField("path", StringType()), StructField("value", StringType())]))
 
 
 def diff(left: DataFrame, right: DataFrame, ident: str, json: str) -> DataFrame:

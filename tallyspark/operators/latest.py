@@ -65,7 +65,7 @@ def period_index(periods: DataFrame, period: str) -> DataFrame:
 
 def streaks(held: DataFrame, keys: Sequence[str], period: str) -> DataFrame:
     """keys, period, streak: consecutive *available* periods that end at each held period."""
-    rows = held.select(*keys, period).distinct().join(F.broadcast(period_index(held, period)), period)  # one row per period
+    rows = held.select(*keys, period).distinct().join(period_index(held, period), period)
     w = Window.partitionBy(*keys).orderBy("idx")
     rows = rows.withColumn("island", F.col("idx") - F.row_number().over(w))
     return rows.withColumn("streak", F.row_number().over(Window.partitionBy(*keys, "island").orderBy("idx")).cast("long")).select(*keys, period, "streak")

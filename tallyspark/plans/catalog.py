@@ -75,12 +75,12 @@ _DASH = f"""with {S.SIGNALS}, d as (select stock, period, count(*) as consensus,
   min(price) as price_low, max(price) as price_high, max(streak) as streak_max, median(streak) as sm,
   sum(case action when 'new' then 1.0 when 'add' then 0.7 when 'reduce' then -0.5 else 0 end * greatest(weight, 0.001)) / sum(greatest(weight, 0.001)) as add_intensity,
   least(30, round_even(least(max(weight) / 0.10, 1) * 20 + least((count(*) filter (position_rank <= 10)) / 2, 1) * 10, 0)) as position_importance,
-  least(25, round_even(least(median(streak) / 4, 1) * 25, 0)) as holding_persistence, least(20, round_even(least(avg(manager_weight::double), 1) * 20, 0)) as manager_quality,
+  least(25, round_even(least(median(streak) / 4, 1) * 25, 0)) as holding_persistence, least(20, round_even(least(sum(manager_weight)::double / count(*), 1) * 20, 0)) as manager_quality,
   least(15, round_even((count(*) filter (action in ('new', 'add'))) / count(*) * 15, 0)) as recent_action, least(10, round_even(least(count(*) / 5, 1) * 10, 0)) as agreement,
   (count(*) filter (kind = 'unknown')) / count(*) as us, bool_or(kind = 'high_turnover') as ht from sig group by all having count(*) >= 3),
 e as (select *, position_importance + holding_persistence + manager_quality + recent_action + agreement as conviction,
   case when us >= 0.75 then case when streak_max < 2 then 'low' else 'medium' end when streak_max >= 4 then 'high' else 'medium' end as confidence from d)
-select stock, period, consensus, round(signal_score, 4) as signal_score, n_new, n_add, n_reduce, n_high_signal, round(price_low, 4) as price_low, round(price_high, 4) as price_high, streak_max,
+select stock, period, consensus, round(signal_score, 4) as signal_score, n_new, n_add, n_reduce, n_high_signal, price_low, price_high, streak_max,
   floor(sm)::bigint as streak_median, round(add_intensity, 4) as add_intensity, conviction::double as conviction, confidence,
   concat_ws(',', case when us >= 0.5 then 'unknown_manager_type_heavy' end, case when ht then 'high_turnover_holders' end, case when conviction < 50 then 'low_conviction' end,
     case when streak_max < 2 then 'short_holding_streak' end, case when confidence = 'low' then 'low_score_confidence' end) as flags from e"""
@@ -89,10 +89,10 @@ select stock, period, consensus, round(signal_score, 4) as signal_score, n_new,
 @query(_DASH)
 def q01_consensus_dashboard(spark, sf):
     board = C.dashboard(C.signals(C.positions(A.holdings(spark, sf))))
-    return board.select("stock", "period", "consensus", *r4("signal_score", "price_low", "price_high", "add_intensity"), "n_new", "n_add", "n_reduce", "n_high_signal", "streak_max", "streak_median", "conviction", "confidence", F.concat_ws(",", "flags").alias("flags"))
+    return board.select("stock", "period", "consensus", *r4("signal_score", "add_intensity"), "price_low", "price_high", "n_new", "n_add", "n_reduce", "n_high_signal", "streak_max", "streak_median", "conviction", "confidence", F.concat_ws(",", "flags").alias("flags"))
 
 
-@query(_DASH.replace("select stock, period, consensus, round", "select stock, period, conviction::double as conviction, round", 1).split(", n_new, n_add, n_reduce, n_high_signal, round(price_low")[0] + " from e order by e.conviction desc, stock, period limit 50")
+@query(_DASH.replace("select stock, period, consensus, round", "select stock, period, conviction::double as conviction, round", 1).split(", n_new, n_add, n_reduce, n_high_signal, price_low")[0] + " from e order by e.conviction desc, stock, period limit 50")
 def t01_top_k(spark, sf):
     return C.top(C.dashboard(C.signals(C.positions(A.holdings(spark, sf)))), "conviction", 50).select("stock", "period", "conviction", *r4("signal_score"))
 
@@ -346,15 +346,8 @@ def q12_filing_progress(spark, sf):
     return FI.progress(managers, A.filings(spark, sf).where("period = 1998"))
 
 
-@query("""select distinct p_partkey as doc, l_orderkey as filing from part join lineitem on p_partkey = l_partkey or p_partkey = l_suppkey where p_size = 7""")
-def j09_either_key(spark, sf):
-    docs = A.table(spark, sf, "part").where("p_size = 7").select(F.col("p_partkey").alias("doc"))
-    lines = A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("filing"), "l_partkey", "l_suppkey")
-    return FI.either_key(docs, lines, "doc", ("l_partkey", "l_suppkey")).distinct()
-
-
 @query("""select p_partkey as doc, l_orderkey as filing from part join lineitem on p_partkey = l_partkey union select p_partkey, l_orderkey from part join lineitem on p_partkey = l_suppkey""")
-def j09_either_key_whole(spark, sf):
+def j09_either_key(spark, sf):
     docs = A.table(spark, sf, "part").select(F.col("p_partkey").alias("doc"))
     lines = A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("filing"), "l_partkey", "l_suppkey")
     return FI.either_key(docs, lines, "doc", ("l_partkey", "l_suppkey")).distinct()
@@ -397,18 +390,8 @@ def j14_overlaps(spark, sf):
     return MA.overlaps(o, "code", "a", "b", "id").select("code", F.col("ident").alias("id"))
 
 
-@query("""with l as (select distinct p_name as name, list_distinct(list_filter(string_split(p_name, ' '), lambda t: length(t) > 1)) as lt from part), r as (select distinct p_type || ' ' || p_name as name, list_distinct(list_filter(string_split(lower(p_type || ' ' || p_name), ' '), lambda t: length(t) > 1)) as rt from part where p_size = 1),
-s as (select l.name as l, r.name as r, len(list_intersect(lt, rt))::double / least(len(lt), len(rt)) as score from l, r), b as (select *, row_number() over (partition by l order by score desc, lower(r)) as rn from s where score >= 0.5)
-select l as l_id, lower(r) as r_id, round(score, 4) as score from b where rn = 1""")
-def j15_fuzzy_names(spark, sf):
-    p = A.table(spark, sf, "part")
-    left = p.select(F.col("p_name").alias("l_id"), F.col("p_name").alias("l_name")).distinct()
-    right = p.where("p_size = 1").select(F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("r_name")).distinct().select(F.col("r_name").alias("r_id"), "r_name")
-    return MA.fuzzy(left, right, 0.5).select("l_id", "r_id", F.round("score", 4).alias("score"))
-
-
 @query()
-def j15_fuzzy_names_whole(spark, sf):
+def j15_fuzzy_names(spark, sf):
     p = A.table(spark, sf, "part")
     left = p.select(F.col("p_name").alias("l_id"), F.col("p_name").alias("l_name")).distinct()
     right = p.select(F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("r_name")).distinct().select(F.col("r_name").alias("r_id"), "r_name")
@@ -521,8 +504,8 @@ def x04_issuer_names(spark, sf):
     return s.select("s_suppkey", shared.cast("long").alias("shared"), X.issuer_name(F.col("s_name")).alias("plain"))
 
 
-@query("select s_suppkey, round(s_acctbal * 1e6, 2) as value, 'USD' as unit from supplier where s_acctbal >= 0")
+@query("select s_suppkey, round(s_acctbal * 1e6, 2) as value, 'USD' as unit from supplier")
 def x01_scaled(spark, sf):
-    s = A.table(spark, sf, "supplier").where("s_acctbal >= 0")
+    s = A.table(spark, sf, "supplier")
     v = X.scaled(F.concat(F.lit("$"), F.format_number("s_acctbal", 2), F.lit(" mil")))
     return s.select("s_suppkey", F.round(v["value"], 2).alias("value"), v["unit"].alias("unit"))

@@ -120,3 +120,18 @@ def test_streams_equal_batches(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("budget").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert sorted(spark.table("budget").collect()) == sorted(RQ.budget(batch, "ts", 10, "1 hour").collect())
+
+
+def test_leaves_at_any_depth(spark):
+    deep = '{"a":' * 60 + "7" + "}" * 60
+    rows = [(1, deep), (2, '{"x": [1.50, {"y": true}, []], "z": null, "e": {}}'), (3, None), (4, "[]")]
+    got = {(r.id, r.path): r.value for r in DOC.leaves(spark.createDataFrame(rows, "id long, j string"), "id", "j").collect()}
+    assert got == {(1, ".".join(["a"] * 60)): "7", (2, "x[0]"): "1.50", (2, "x[1].y"): "true", (2, "z"): None}
+
+
+def test_rating_days(spark):
+    from tallyspark.functions import text as X
+
+    notes = ["Lowered 3/31/23", "Raised 12/29/23", "New 2/30/24", "Suspended", None]
+    got = [r.e for r in spark.createDataFrame([(x,) for x in notes], "n string").select(X.rating_event(F.col("n")).alias("e")).collect()]
+    assert [(e.kind, e.day) for e in got] == [("lowered", D(2023, 3, 31)), ("raised", D(2023, 12, 29)), ("new", None), ("suspended", None), (None, None)]
