@@ -45,6 +45,8 @@ from .textbatch import chunks
 CHUNK = 32_768
 SPACE = "▁"
 KEEP = 1 << 18
+#: characters of a remembered start
+NEAR = 5
 #: bytes of text that a worker takes at once
 SLICE = 2 << 20
 State = tuple[int, int]  # start relative to the border (negative), piece
@@ -108,7 +110,7 @@ class Pieces(Vocabulary):
         #: every start of a piece, with its id or -1
         self.prefixes = {p[:k]: -1 for p in self.id for k in range(1, len(p) + 1)} | self.id
         self.paths: dict[str, tuple[int, ...]] = {}
-        self.begun: dict[str, list[tuple[int, int]]] = {}
+        self.begun: dict[str, tuple[list[tuple[int, int]], bool]] = {}
 
     def merged_from(self, p: str) -> tuple[str, str] | None:
         """The two parts of a piece's last merge; None for single characters and for pieces
@@ -214,12 +216,25 @@ class Pieces(Vocabulary):
                 out.extend(self.byte[b] for b in chr(-2 - p).encode())
 
     def starts(self, s: str) -> list[tuple[int, int]]:
-        """(piece, length) of the pieces at the start of s, longest first, remembered."""
-        out = self.begun.get(s)
-        if out is None:
-            out = self.begun[s] = self.starting(s, 0)[::-1]
+        """(piece, length) of the pieces at the start of s, longest first.  Those of up to ``NEAR``
+        characters are remembered, with whether a longer piece starts so."""
+        near = s[:NEAR]
+        known = self.begun.get(near)
+        if known is None:
+            known = self.begun[near] = (self.starting(near, 0)[::-1], len(near) == NEAR and near in self.prefixes)
             if len(self.begun) >= KEEP // 2:
                 self.begun.clear()
+        out, more = known
+        if more and len(s) > NEAR:
+            longer, prefixes = [], self.prefixes
+            for k in range(NEAR + 1, min(len(s), self.longest) + 1):
+                piece = prefixes.get(s[:k])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    longer.append((piece, k))
+            if longer:
+                return longer[::-1] + out
         return out
 
     def through(self, s: str) -> list[int]:
