@@ -29,6 +29,7 @@ which reads back as a space.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections.abc import Iterator
@@ -44,7 +45,7 @@ from .textbatch import chunks
 
 CHUNK = 32_768
 SPACE = "▁"
-KEEP = 1 << 18
+KEEP = 1 << 19
 #: characters of a remembered start
 NEAR = 5
 #: bytes of text that a worker takes at once
@@ -110,7 +111,8 @@ class Pieces(Vocabulary):
         #: every start of a piece, with its id or -1
         self.prefixes = {p[:k]: -1 for p in self.id for k in range(1, len(p) + 1)} | self.id
         self.paths: dict[str, tuple[int, ...]] = {}
-        self.begun: dict[str, tuple[list[tuple[int, int]], bool]] = {}
+        self.begun: dict[str, list[tuple[int, int]]] = {}
+        self.short: dict[str, list[tuple[int, int]]] = {}
 
     def merged_from(self, p: str) -> tuple[str, str] | None:
         """The two parts of a piece's last merge; None for single characters and for pieces
@@ -215,74 +217,80 @@ class Pieces(Vocabulary):
             else:
                 out.extend(self.byte[b] for b in chr(-2 - p).encode())
 
-    def starts(self, s: str) -> list[tuple[int, int]]:
-        """(piece, length) of the pieces at the start of s, longest first.  Those of up to ``NEAR``
-        characters are remembered, with whether a longer piece starts so."""
-        near = s[:NEAR]
-        known = self.begun.get(near)
-        if known is None:
-            known = self.begun[near] = (self.starting(near, 0)[::-1], len(near) == NEAR and near in self.prefixes)
-            if len(self.begun) >= KEEP // 2:
-                self.begun.clear()
-        out, more = known
-        if more and len(s) > NEAR:
-            longer, prefixes = [], self.prefixes
-            for k in range(NEAR + 1, min(len(s), self.longest) + 1):
-                piece = prefixes.get(s[:k])
-                if piece is None:
-                    break
-                if piece >= 0:
-                    longer.append((piece, k))
-            if longer:
-                return longer[::-1] + out
-        return out
+    def starts(self, s: str, at: int) -> list[tuple[int, int]]:
+        """(piece, length) of the pieces of s at a place, longest first.  Those of up to ``NEAR``
+        characters are remembered: in ``short`` if no longer piece starts so, in ``begun`` else."""
+        near = s[at : at + NEAR]
+        out = self.short.get(near)
+        if out is not None:
+            return out
+        out = self.begun.get(near)
+        if out is None:
+            out = self.starting(near, 0)[::-1]
+            keep = self.begun if len(near) == NEAR and near in self.prefixes else self.short
+            if len(keep) >= KEEP // 2:
+                keep.clear()
+            keep[near] = out
+            if keep is self.short:
+                return out
+        longer, prefixes = [], self.prefixes
+        for k in range(at + NEAR + 1, min(len(s), at + self.longest) + 1):
+            piece = prefixes.get(s[at:k])
+            if piece is None:
+                break
+            if piece >= 0:
+                longer.append((piece, k - at))
+        return longer[::-1] + out if longer else out
 
     def through(self, s: str) -> list[int]:
         """The one compatible path over s, longest pieces first.  A prefix has one path, so an
         end that was met before needs no second visit."""
-        fits, size, starts, n = self.fits, len(self.text), self.starts, len(s)
-        longest, met, path, ends, before = self.longest, set(), [], [0], -1
-        left = [iter(starts(s[:longest]))]
+        fits, text, short, starts, size, n = self.fits, self.text, self.short, self.starts, len(self.text), len(s)
+        met, path, left, at, before = set(), [], [], 0, -1
+        options = iter(short.get(s[:NEAR]) or starts(s, 0))
         while True:
-            for piece, k in left[-1]:
-                end = ends[-1] + k
+            for piece, k in options:
+                end = at + k
                 if end in met:
                     continue
                 if before >= 0 and piece >= 0:
                     key = before * size + piece
                     fit = fits.get(key)
                     if fit is None:
-                        fit = fits[key] = self._fit(self.text[before], self.text[piece])
+                        fit = fits[key] = self._fit(text[before], text[piece])
                     if not fit:
                         continue
                 met.add(end)
                 path.append(piece if piece >= 0 else -2 - ord(s[end - 1]))
                 if end == n:
                     return path
-                ends.append(end)
-                left.append(iter(starts(s[end : end + longest])))
-                before = piece
+                left.append((options, at, before))
+                at, before = end, piece
+                options = iter(short.get(s[end : end + NEAR]) or starts(s, end))
                 break
             else:
-                left.pop()
-                ends.pop()
+                options, at, before = left.pop()
                 path.pop()
-                before = path[-1] if path else -1
 
     def part(self, s: str) -> tuple[int, ...]:
-        """Ids of a part between cuts, remembered; a long one is cut where no piece can cross."""
+        """Ids of a part between cuts, remembered; it is cut where no piece can cross, a short one
+        only before its last character (a mark after a word, mostly)."""
         ids = self.paths.get(s)
         if ids is None:
-            inside, out, begin = self.inside, [], 0
-            for i in range(1, len(s) if len(s) > 24 else 0):
+            known, inside, out, begin, n = self.paths, self.inside, [], 0, len(s)
+            for i in range(1 if n > 24 else n - 1 or 1, n):
                 if s[i - 1 : i + 1] not in inside:
-                    known = self.paths.get(s[begin:i])
-                    out.extend(known if known is not None else self.part(s[begin:i]))
+                    ids = known.get(s[begin:i])
+                    out.extend(ids if ids is not None else self.part(s[begin:i]))
                     begin = i
             if begin:
                 out.extend(self.part(s[begin:]))
             else:
-                self.emit(self.through(s), out)
+                path = self.through(s)
+                if min(path) < 0:
+                    self.emit(path, out)
+                else:
+                    out = path
             if len(self.paths) >= KEEP:
                 self.paths.clear()
             ids = tuple(out)
@@ -481,7 +489,11 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
         for b in (x for batch in batches for x in chunks(batch, "text", SLICE)):
-            ids = [None if t is None else np.asarray(m.encode(t), dtype=np.int32) for t in b.column(1).to_pylist()]
+            gc.disable()  # encoding makes no cycles, and the collector would walk all that is remembered
+            try:
+                ids = [None if t is None else np.asarray(m.encode(t), dtype=np.int32) for t in b.column(1).to_pylist()]
+            finally:
+                gc.enable()
             yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array([1] * len(ids), pa.int32())], names=["doc_id", "text", "ids", "n_chunks"])
 
     out = "doc_id long, text string, ids array<int>, n_chunks int"
