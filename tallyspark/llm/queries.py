@@ -85,6 +85,29 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(_read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label).withColumn("rank", F.col("rank").cast("int"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import lowered, manifest
+
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, lowered(F.col("text"))).otherwise(F.col("text"))
+    return manifest(_read(spark, sf_dir, "documents"), tampered)
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import BASE_KINDS, KINDS, scan
+
+    found = scan(_read(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    text = lambda kinds: F.array_join(F.transform(F.filter("spans", lambda s: s["kind"].isin(*kinds)), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(text(BASE_KINDS).cast("binary"), 256).alias("base_sha256"), text(KINDS).alias("spans"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_html_extraction": op2_html_extraction,
@@ -96,6 +119,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_pii": op9_pii,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_secrets": op13_secrets,
 }
 
 #: the template's length: per turn its marks, role and escaped text; every reply repeats what stands before it
@@ -113,4 +139,45 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   cast(sum(case when role = 'assistant' or i = n then upto else 0 end) as bigint) as formatted_chars
 from c group by conv_id"""
 
-ORACLES: dict[str, str] = {"op8_chat_formatting": _OP8}
+#: every anchor against every row
+_OP11 = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding::double[], lambda x: floor(256 * x)) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+p as (select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+n as (select anchor_id, positive_id, positive_score, other as negative_id, score as negative_score, (row_number() over (partition by anchor_id, positive_id order by score desc, other))::int as rank
+  from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3"""
+
+#: crc32 bit by bit, then the trees level by level, then each leaf's path and fold
+_OP12 = r"""
+with recursive d as (select doc_id, source, lang, n_chars, text, (select count(*) from documents) as total from documents),
+crc as (select doc_id, xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint) as c
+  from (select distinct doc_id from documents where doc_id is not null)),
+f as (select d.doc_id, source, coalesce(strlen(d.doc_id::varchar) || ':' || d.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as fore,
+    text, coalesce(c % 5 = 0, false) as touched from d left join crc using (doc_id)),
+l as (select doc_id, source, sha256(fore || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+    sha256(fore || coalesce(strlen(text) || ':' || case when touched then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end, '-')) as present from f),
+n as (select *, dense_rank() over (order by source nulls first) - 1 as tree, row_number() over (partition by source order by doc_id nulls first, leaf, present) - 1 as place, count(*) over (partition by source) as size from l),
+t(tree, level, place, h, size) as (select tree, 0, place, leaf, size from n union all
+  select tree, level + 1, place // 16, sha256(string_agg(h, '' order by place)), (any_value(size) + 15) // 16 from t where size > 1 group by tree, level, place // 16),
+r as (select tree, h as subroot, tree as place, count(*) over () as size from t where size = 1),
+u(level, place, h, size) as (select 0, place, subroot, size from r union all
+  select level + 1, place // 16, sha256(string_agg(h, '' order by place)), (any_value(size) + 15) // 16 from u where size > 1 group by level, place // 16),
+runs as (select tree, level, place // 16 as run, list(h order by place) as hs from t where size > 1 group by tree, level, place // 16),
+tops as (select level, place // 16 as run, list(h order by place) as hs from u where size > 1 group by level, place // 16),
+w(id, tree, level, place, h, proof) as (select tree || ':' || place, tree, 0, place, present, '' from n union all
+  select id, w.tree, w.level + 1, w.place // 16, sha256(list_aggregate(list_concat(hs[1:w.place % 16], [w.h], hs[w.place % 16 + 2:]), 'string_agg', '')),
+    proof || coalesce(list_aggregate(list_concat(hs[1:w.place % 16], hs[w.place % 16 + 2:]), 'string_agg', ''), '')
+  from w join runs on runs.tree = w.tree and runs.level = w.level and runs.run = w.place // 16),
+ws as (select id, tree, arg_max(h, level) as h, arg_max(proof, level) as proof from w group by id, tree),
+v(id, level, place, h, proof) as (select id, 0, tree, h, proof from ws union all
+  select id, v.level + 1, v.place // 16, sha256(list_aggregate(list_concat(hs[1:v.place % 16], [v.h], hs[v.place % 16 + 2:]), 'string_agg', '')),
+    proof || coalesce(list_aggregate(list_concat(hs[1:v.place % 16], hs[v.place % 16 + 2:]), 'string_agg', ''), '')
+  from v join tops on tops.level = v.level and tops.run = v.place // 16),
+vs as (select id, arg_max(h, level) as folded, arg_max(proof, level) as proof from v group by id)
+select n.doc_id, n.leaf, r.subroot, u.h as root, sha256(vs.proof) as proof_sha256, vs.folded as folded_root, vs.folded = u.h as verified
+from n join r using (tree) join vs on vs.id = n.tree || ':' || n.place cross join (select h from u where size = 1) u"""
+
+ORACLES: dict[str, str] = {"op8_chat_formatting": _OP8, "op11_hard_negatives": _OP11, "op12_merkle_manifest": _OP12}
