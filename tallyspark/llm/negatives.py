@@ -99,7 +99,7 @@ def ball_tree(x: np.ndarray, labels: np.ndarray, leaf: int = LEAF) -> dict[str,
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(-1, dims)
+    return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(len(column), dims)
 
 
 def _sliced(rows: DataFrame, size: int, build, schema: str, by: list) -> DataFrame:

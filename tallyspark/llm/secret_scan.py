@@ -70,7 +70,7 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 _VALUE = rb"([^\x20\x09-\x0D\"'`<>]{6,})"
 _CREDENTIAL = re.compile(
     rb"(?:" + b"|".join(re.escape(c.encode()) for c in sorted(CUES, key=len, reverse=True)) + rb")[\"']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+(?:is|was)\x20+)[\"'`]?" + _VALUE
-    + rb"|bearer\x20+" + _VALUE + rb"|://[^\x20\x09-\x0D/@:?#]+:([^\x20\x09-\x0D/@]{6,})@"
+    + rb"|bearer\x20+" + _VALUE + rb"|://[^\x20\x09-\x0D/@:?#]+:([^\x20\x09-\x0D/]{6,})@[a-z0-9]"
 )
 _TAIL = b".,;:!?)]}"
 
