@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 
 import pandas as pd
@@ -85,12 +84,6 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(small > 0, F.size(F.array_intersect(x, y)) / small).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block similarity of two names, letter case ignored."""
-    return pd.Series([difflib.SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b)])
-
-
 def digits_only(c: Column) -> Column:
     """All digits as one number (signs and points go); null without any."""
     return F.nullif(F.regexp_replace(c, "[^0-9]", ""), F.lit("")).cast("long")

@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import numbers as N
 
 from .latest import period_index
 
-EXACT = "decimal(18,4)"
+#: numbers from here on are summed as plain doubles
+LARGE = 1e15
+
+
+def exact_parts(c: str) -> dict[str, Column]:
+    """Sums that don't depend on the order of addition: whole units, millionths, and the plain sum for numbers that are too large."""
+    v = F.col(c).cast("double")
+    big = F.isnan(v) | (F.abs(v) >= LARGE)
+    unit = F.when(~big, F.floor(v))
+    part = F.when(~big, F.round((v - F.floor(v)) * 1e6).cast("long"))
+    return {f"{c}_units": F.try_sum(unit), f"{c}_parts": F.try_sum(part), f"{c}_plain": F.sum(v), f"{c}_big": F.bool_or(big)}
+
+
+def exact_value(c: str, over=None) -> Column:
+    """The sum of the parts of c, over a window if given."""
+    add = (lambda x: F.try_sum(x).over(over)) if over is not None else F.col
+    plain = F.sum(f"{c}_plain").over(over) if over is not None else F.col(f"{c}_plain")
+    big = F.bool_or(f"{c}_big").over(over) if over is not None else F.col(f"{c}_big")
+    return F.coalesce(F.when(~big, add(f"{c}_units") + add(f"{c}_parts") / 1e6), plain)
 
 
 def positions(holdings: DataFrame) -> DataFrame:
-    """manager, stock, period -> shares, value, weight (of the manager's period total), position_rank."""
-    # sums of decimals, so that no result depends on the order of addition
-    add = lambda c: F.sum(F.col(c).cast(EXACT))
-    p = holdings.groupBy("manager", "stock", "period").agg(add("shares").cast("double").alias("shares"), add("value").alias("exact"))
+    """manager, stock, period -> shares, value, weight (of the manager's period total), position_rank.
+
+    Shares and values are rounded to millionths and added exactly, whatever the order of rows; sums
+    with a number of 1e15 or more, or beyond a long, are plain double sums, which aren't rounded.
+    """
+    p = holdings.groupBy("manager", "stock", "period").agg(*[e.alias(k) for c in ("shares", "value") for k, e in exact_parts(c).items()])
     w = Window.partitionBy("manager", "period")
-    total = F.sum("exact").over(w).cast("double")
-    p = p.withColumn("total", total).withColumn("value", F.col("exact").cast("double"))
-    total = F.col("total")
-    return p.select("manager", "stock", "period", "shares", "value", F.coalesce(N.ratio(F.col("value"), total), F.lit(0.0)).alias("weight"), F.row_number().over(w.orderBy(F.desc("value"), "stock")).cast("long").alias("position_rank"))
+    p = p.withColumns({"shares": exact_value("shares"), "value": exact_value("value"), "total": exact_value("value", w)})
+    weight = F.coalesce(N.ratio(F.col("value"), F.col("total")), F.lit(0.0))
+    return p.select("manager", "stock", "period", "shares", "value", weight.alias("weight"), F.row_number().over(w.orderBy(F.desc("value"), "stock")).cast("long").alias("position_rank"))
 
 
 def tracked(pos: DataFrame) -> DataFrame:

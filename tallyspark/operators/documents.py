@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,78 +25,167 @@ def conflicts(rows: DataFrame, slot: list[str], value: str, order: list[str]) ->
     return rows.groupBy(*slot).agg(F.count_distinct(F.struct(value)).alias("n_values"), seen.alias("observations")).where("n_values > 1")
 
 
+#: leaves go out in batches of so many
+BATCH = 8192
+_PLAIN = re.compile(r"[^.\[\]\"*]+")
+_TOKEN = re.compile(r'\s*(?:([{}\[\],:])|(")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null|NaN|-?Infinity))')
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _parsed(text: str):
+    """The value of a JSON text, numbers as written.  Texts too deep for the parser's own stack are read token by token."""
+    try:
+        return json.loads(text, parse_int=str, parse_float=str, parse_constant=str)
+    except RecursionError:
+        pass
+    top: list = []
+    stack, keys, key, at = [top], [], None, 0
+
+    def put(v) -> None:
+        if isinstance(stack[-1], dict):
+            stack[-1][key] = v
+        else:
+            stack[-1].append(v)
+
+    while m := _TOKEN.match(text, at):
+        at, sign = m.end(), m[1]
+        if sign in ("{", "["):
+            new: dict | list = {} if sign == "{" else []
+            put(new)
+            stack.append(new)
+            keys.append(key)
+        elif sign in ("}", "]"):
+            if isinstance(stack.pop(), dict) != (sign == "}") or not stack:
+                raise ValueError(f"unbalanced JSON at {at}")
+            key = keys.pop()
+        elif m[2]:
+            word, at = json.decoder.scanstring(text, at)
+            colon = re.compile(r"\s*:").match(text, at)
+            if isinstance(stack[-1], dict) and colon:
+                key, at = word, colon.end()
+            else:
+                put(word)
+        elif m[3]:
+            put(_WORDS.get(m[3], m[3]))
+    if text[at:].strip() or len(stack) != 1 or len(top) != 1:
+        raise ValueError(f"malformed JSON at {at}")
+    return top[0]
+
+
+def _step(key: str) -> str:
+    """A key as a step of a path: in brackets and quotes where it holds a sign of paths."""
+    return key if _PLAIN.fullmatch(key) else f"[{json.dumps(key, ensure_ascii=False)}]"
+
+
 def _walk(text: str) -> Iterator[tuple[str, str | None]]:
     """(path, value as written) of the leaves of one JSON text, at any depth, in document order."""
-    todo = [("", json.loads(text, parse_int=str, parse_float=str))]
+    todo = [("", _parsed(text))]
     while todo:
         path, v = todo.pop()
         if isinstance(v, dict):
-            todo += [(f"{path}.{k}" if path else k, x) for k, x in reversed(v.items())]
+            steps = [(_step(str(k)), x) for k, x in reversed(v.items())]
+            todo += [(f"{path}.{k}" if path and k[0] != "[" else path + k, x) for k, x in steps]
         elif isinstance(v, list):
             todo += [(f"{path}[{i}]", x) for i, x in reversed(list(enumerate(v)))]
         else:
             yield path, str(v).lower() if isinstance(v, bool) else v
 
 
-def leaves(df: DataFrame, ident: str, json: str) -> DataFrame:
-    """ident, path, value of every leaf of a JSON column at any depth: objects as a.b, lists as a[0].
+def leaves(df: DataFrame, ident: str, column: str, keep: list[str] | None = None) -> DataFrame:
+    """ident, path, value (and the columns keep) of every leaf of a JSON column at any depth: objects as a.b, lists as a[0].
 
-    Numbers stay as written, true and false are words, a JSON null is a null value; containers
+    A key with a sign of paths (``. [ ] " *``), or an empty one, stands as ["a.b"].  Numbers stay as written,
+    true and false are words, a JSON null is a null value; of a repeated key the last counts; containers
     without leaves and null texts give no rows; a malformed text is an error.  One pass over
-    the rows, without a shuffle.
+    the rows, without a shuffle, in batches of bounded size.
     """
-    kind = df.schema[ident].dataType
+    own = [ident, *(keep or [])]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, *leaf) for i, text in enumerate(b.column(1).to_pylist()) if text is not None for leaf in _walk(text)]
-            at, paths, values = zip(*found) if found else ((), (), ())
-            yield pa.record_batch([b.column(0).take(pa.array(at, pa.int64())), pa.array(paths, pa.string()), pa.array(values, pa.string())], names=[ident, "path", "value"])
+            found = ((i, *leaf) for i, text in enumerate(b.column(len(own)).to_pylist()) if text is not None for leaf in _walk(text))
+            while part := list(itertools.islice(found, BATCH)):
+                at, paths, values = zip(*part)
+                yield pa.record_batch([*[b.column(k).take(pa.array(at, pa.int64())) for k in range(len(own))], pa.array(paths, pa.string()), pa.array(values, pa.string())], names=[*own, "path", "value"])
 
-    return df.select(ident, json).mapInArrow(task, StructType([StructField(ident, kind), StructField("path", StringType()), StructField("value", StringType())]))
+    fields = [StructField(c, df.schema[c].dataType) for c in own]
+    return df.select(*own, column).mapInArrow(task, StructType([*fields, StructField("path", StringType()), StructField("value", StringType())]))
 
 
-def diff(left: DataFrame, right: DataFrame, ident: str, json: str) -> DataFrame:
+def diff(left: DataFrame, right: DataFrame, ident: str, column: str) -> DataFrame:
     """ident, path, left, right of the leaves in which two JSON columns differ."""
-    a, b = leaves(left, ident, json).withColumnRenamed("value", "left"), leaves(right, ident, json).withColumnRenamed("value", "right")
+    a, b = leaves(left, ident, column).withColumnRenamed("value", "left"), leaves(right, ident, column).withColumnRenamed("value", "right")
     return a.join(b, [ident, "path"], "full").where(~F.col("left").eqNullSafe(F.col("right")))
 
 
-def pattern(path: str) -> str:
-    """A mapping's path (``a.b``, ``*`` any key, ``name[]`` any item) as a regular expression with a group per wildcard."""
-    parts = []
-    for p in path.split("."):
-        head, items = (p[:-2], r"\[(\d+)\]") if p.endswith("[]") else (p, "")
-        parts.append((r"([^.\[\]]+)" if head == "*" else head) + items)
-    return "^" + r"\.".join(parts) + "$"
+#: the steps of a path as JVM and Python expressions read them
+STEP = r'\["(?:[^"\\]|\\.)*"\]|\[\d*\]|[^.\[\]"]+'
+#: between a shape's steps; control signs stand escaped in quoted keys and never in plain ones of a spec
+_GAP = "\x01"
+
+
+def steps(path: str) -> list[str]:
+    """The steps of a mapping's path: ``a.b``, ``*`` any key, ``name[]`` any item, ``name[0]`` one item, ``["a.b"]`` a key with signs.
+
+    Plain keys may hold any other signs, such as ``rate (net)`` and ``x+y``.
+    """
+    found = re.findall(STEP, path)
+    joined = "".join(x if i == 0 or x[0] == "[" else "." + x for i, x in enumerate(found))
+    if not found or joined != path:
+        raise ValueError(f"path {path!r} can't be read")
+    return found
+
+
+def shapes(paths: Iterable[str]) -> list[tuple[int, str, str]]:
+    """(number of steps, mask, shape) of each path; a mask has L for a named step, K for any key, I for any item."""
+    out = []
+    for p in paths:
+        s = steps(p)
+        mask = "".join("K" if x == "*" else "I" if x == "[]" else "L" for x in s)
+        out.append((len(s), mask, _GAP.join(s)))
+    return out
+
+
+def shaped(leaf: DataFrame, paths: Iterable[str]) -> DataFrame:
+    """Leaves with steps, mask, shape and caught (what the wildcards stood for), once for each mask of their length.
+
+    A leaf meets the few masks of a spec, not its entries: the rest is an equi-join on mask and shape.
+    """
+    spark = leaf.sparkSession
+    masks = sorted({(n, m) for n, m, _ in shapes(paths)})
+    table = spark.createDataFrame(masks, "n_steps int, mask string")
+    rows = leaf.withColumn("steps", F.regexp_extract_all("path", F.lit(STEP), F.lit(0))).withColumn("n_steps", F.size("steps"))
+    rows = rows.join(table, "n_steps").drop("n_steps")  # a row a mask: Spark broadcasts it by its size
+    kinds = F.split("mask", "")
+    item = lambda s: s.rlike(r"^\[\d+\]$")
+    general = F.zip_with("steps", kinds, lambda s, k: F.when(k == "L", s).when((k == "K") & ~item(s), "*").when((k == "I") & item(s), "[]"))
+    caught = F.transform(F.filter(F.arrays_zip(F.col("steps").alias("s"), kinds.alias("k")), lambda x: x["k"] != "L"), lambda x: F.regexp_replace(x["s"], r"^\[(\d+)\]$", "$1"))
+    rows = rows.withColumn("__g", general).where(~F.exists("__g", lambda x: x.isNull()))
+    return rows.withColumn("shape", F.array_join("__g", _GAP)).withColumn("caught", caught).drop("__g")
 
 
 def mapped(leaf: DataFrame, spec: list[dict], ident: str) -> DataFrame:
     """ident, metric_key, context, value, unit, path of the leaves that a mapping of the spec takes.
 
-    spec: dicts of path, metric_key, unit and null_as_zero; a few dozen entries, so they compile to one
-    pass over the leaves: each leaf gets the array of its matches.
+    spec: dicts of path, metric_key, unit and null_as_zero; thousands of entries are a join on the
+    shapes of paths, not a test of every pattern.  context is what the first wildcard stood for.
     """
     from tallyspark.functions import numbers as N
 
-    hits = []
-    for m in spec:
-        p = pattern(m["path"])
-        context = F.regexp_extract("path", p, 1) if "(" in p else F.lit(None).cast("string")
-        raw = F.col("value").try_cast("double")
-        number = F.coalesce(raw, F.lit(0.0)) if m.get("null_as_zero") else raw
-        unit = F.lit(m["unit"])
-        hits.append(F.when(F.col("path").rlike(p), F.struct(F.lit(m["metric_key"]).alias("metric_key"), context.alias("context"), N.unit_value(number, unit).alias("value"), N.base_unit(unit).alias("unit"))))
-    return leaf.select(ident, "path", F.inline(F.array_compact(F.array(*hits))))
+    rows = [(mask, shape, m["metric_key"], m["unit"], bool(m.get("null_as_zero"))) for m, (_, mask, shape) in zip(spec, shapes(m["path"] for m in spec))]
+    table = leaf.sparkSession.createDataFrame(rows, "mask string, shape string, metric_key string, unit string, null_as_zero boolean")
+    hit = shaped(leaf, [m["path"] for m in spec]).join(table, ["mask", "shape"])
+    raw = F.col("value").try_cast("double")
+    number = F.when(F.col("null_as_zero"), F.coalesce(raw, F.lit(0.0))).otherwise(raw)
+    return hit.select(ident, "path", "metric_key", F.get("caught", F.lit(0)).alias("context"), N.unit_value(number, F.col("unit")).alias("value"), N.base_unit(F.col("unit")).alias("unit"))
 
 
 def unmapped(leaf: DataFrame, spec: list[dict]) -> DataFrame:
     """path, n: leaf paths no mapping takes, with list places and years as wildcards."""
-    taken = F.lit(False)
-    for m in spec:
-        taken = taken | F.col("path").rlike(pattern(m["path"]))
+    table = leaf.sparkSession.createDataFrame([(m, s) for _, m, s in shapes(m["path"] for m in spec)], "mask string, shape string")
+    taken = shaped(leaf, [m["path"] for m in spec]).join(table, ["mask", "shape"], "left_semi").select("path").distinct()
     general = F.regexp_replace(F.regexp_replace("path", r"\[\d+\]", "[]"), r"(^|\.)(19|20)\d\d(?=\.|$)", "$1*")
-    return leaf.where(~taken).groupBy(general.alias("path")).agg(F.count("*").alias("n"))
+    return leaf.join(taken, "path", "left_anti").groupBy(general.alias("path")).agg(F.count("*").alias("n"))
 
 
 def coverage(keys: DataFrame, exact: list[str], templates: list[str]) -> DataFrame:

@@ -109,10 +109,3 @@ def retries(jobs: DataFrame, now: Column, kinds: list[str], most: int = 3) -> Da
     old = F.unix_timestamp(now) - F.unix_timestamp("finished_at") >= 86400
     rows = jobs.withColumn("__tried", tried).withColumn("__busy", busy).where((F.col("status") == "failed") & ~F.col("__busy") & (F.col("__tried") <= most) & old & F.col("kind").isin(kinds))
     return rows.withColumn("__rn", F.row_number().over(w.orderBy(F.desc("finished_at"), F.desc("job")))).where("__rn = 1").select("job", "kind", "lock_key")
-
-
-def claim_order(jobs: DataFrame, now: Column, stale_s: int = 90, stuck_s: int = 600) -> DataFrame:
-    """job, place of queued jobs, oldest first, and flags of stale running and stuck queued ones; jobs: job, status, at."""
-    age = F.unix_timestamp(now) - F.unix_timestamp("at")
-    w = Window.partitionBy("status").orderBy("at", "job")
-    return jobs.select("job", "status", F.when(F.col("status") == "queued", F.row_number().over(w)).alias("place"), ((F.col("status") == "running") & (age > stale_s)).alias("stale"), ((F.col("status") == "queued") & (age > stuck_s)).alias("stuck"))

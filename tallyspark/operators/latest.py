@@ -86,3 +86,29 @@ def upsert(table: DataFrame, news: DataFrame, keys: Sequence[str], order: str) -
 
 def insert_if_absent(table: DataFrame, news: DataFrame, keys: Sequence[str]) -> DataFrame:
     return table.unionByName(news.dropDuplicates(list(keys)).join(table, list(keys), "left_anti").select(*table.columns))
+
+
+def placed(rows: DataFrame, value: str, ident: str, buckets: int = 64) -> DataFrame:
+    """Adds place: 1 for the greatest value, ties by ident, nulls last; no window holds all rows.
+
+    Rows are dealt by quantiles of the value (one small row, joined to all), ranked within their
+    bucket, and moved by the number of rows in the buckets before it.  Equal values share a bucket.
+    """
+    at = [i / buckets for i in range(1, buckets)]
+    bounds = rows.agg(F.array_distinct(F.percentile_approx(value, at)).alias("__bounds"))
+    above = F.size(F.filter("__bounds", lambda b: b > F.col(value)))
+    dealt = rows.join(F.broadcast(bounds), F.lit(True)).withColumn("__b", F.when(F.col(value).isNull(), buckets).otherwise(F.coalesce(above, F.lit(0)))).drop("__bounds")
+    before = dealt.groupBy("__b").agg(F.count("*").alias("__n"))
+    before = before.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))  # a row a bucket
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy(F.desc_nulls_last(value), ident))
+    return dealt.withColumn("__in", inside).join(F.broadcast(before), "__b").withColumn("place", F.col("__before") + F.col("__in")).drop("__b", "__in", "__before")
+
+
+def version_number(version: Column) -> Column:
+    """The digits at a version's end as a number, -1 without any."""
+    return F.coalesce(F.regexp_extract(F.coalesce(version, F.lit("")), r"(\d+)$", 1).try_cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)"))
+
+
+def newest_version(rows: DataFrame, keys: Sequence[str], version: str, ident: str) -> DataFrame:
+    """The row of each key with the greatest version number (v10 after v9), then ident."""
+    return first_per_key(rows, keys, [version_number(F.col(version)).desc(), F.desc(ident)])

@@ -6,7 +6,6 @@ import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyspark.functions import dates as D
 from tallyspark.functions import numbers as N
@@ -23,20 +22,7 @@ from tallyspark.streaming import requests as RQ
 
 from . import analog as A
 from . import sql as S
-
-QUERIES = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 def r4(*names: str):
     return [F.round(n, 4).alias(n) for n in names]
@@ -278,10 +264,7 @@ def j12_exact_or_latest(spark, sf):
 def q09_watchlist_margin(spark, sf):
     n = A.prices(spark, sf).groupBy("stock").agg(F.max_by("close", F.struct("day", "event_id")).alias("price"), F.avg("close").alias("fair"))
     n = n.withColumn("margin", N.margin_of_safety(F.col("fair"), F.col("price")))
-    # ranked by range: a sort over all tasks, then the count of each task's rows before the next one's places
-    n = n.orderBy(F.desc_nulls_last("margin"), "stock").select("stock", F.round("margin", 4).alias("margin"))
-    places = n.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return spark.createDataFrame(places, T.StructType([*n.schema.fields, T.StructField("place", T.LongType())]))
+    return L.placed(n, "margin", "stock").select("stock", F.round("margin", 4).alias("margin"), "place")
 
 
 @query("""select o_orderkey, year(o_orderdate) || '-Q' || quarter(o_orderdate) as label, last_day(date_trunc('quarter', o_orderdate)::date + interval 2 month) as q_end,
@@ -371,15 +354,6 @@ def t05_page(spark, sf):
     return f.crossJoin(F.broadcast(f.agg(F.count("*").alias("total")))).orderBy(F.desc("filed_at"), "filing").offset(20).limit(20).select("filing", "manager", "total")
 
 
-@query("with j as (select conv_id as job, count(*) as turns from conversations group by conv_id), k as (select job, case turns % 3 when 0 then 'queued' when 1 then 'running' else 'failed' end as status, timestamp '2024-01-01 00:00:00' + to_seconds(job * 60) as t from j) select job, status, case when status = 'queued' then row_number() over (partition by status order by t, job) end as place, status = 'running' and epoch(timestamp '2024-01-01 02:00:00' - t) > 90 as stale, status = 'queued' and epoch(timestamp '2024-01-01 02:00:00' - t) > 600 as stuck from k")
-def w25_job_queue(spark, sf):
-    j = A.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("job")).agg((F.count("*") % 3).alias("k"))
-    at = (F.lit(datetime.datetime(2024, 1, 1)).cast("timestamp").cast("long") + F.col("job") * 60).cast("timestamp")
-    j = j.select("job", F.when(F.col("k") == 0, "queued").when(F.col("k") == 1, "running").otherwise("failed").alias("status"), at.alias("at"))
-    out = FI.claim_order(j, F.lit("2024-01-01 02:00:00").cast("timestamp"))
-    return out.withColumn("place", F.col("place").cast("long"))
-
-
 # entities
 
 
@@ -509,3 +483,6 @@ def x01_scaled(spark, sf):
     s = A.table(spark, sf, "supplier")
     v = X.scaled(F.concat(F.lit("$"), F.format_number("s_acctbal", 2), F.lit(" mil")))
     return s.select("s_suppkey", F.round(v["value"], 2).alias("value"), v["unit"].alias("unit"))
+
+
+from . import reports, revisions  # noqa: E402, F401

@@ -7,7 +7,7 @@ from .analog import FACTS
 HOLDINGS = """holdings as (select l_suppkey as manager, p_brand as stock, last_day(date_trunc('quarter', l_shipdate)::date + interval 2 month) as period,
   l_quantity as shares, l_extendedprice as value from lineitem join part on p_partkey = l_partkey)"""
 POSITIONS = f"""{HOLDINGS},
-exactly as (select manager, stock, period, sum(shares::decimal(18,4))::double as shares, sum(value::decimal(18,4)) as exact, exact::double as value from holdings group by all),
+exactly as (select manager, stock, period, sum(shares::decimal(38,6))::double as shares, sum(value::decimal(38,6)) as exact, exact::double as value from holdings group by all),
 g as (select manager, stock, period, shares, value, (sum(exact) over (partition by manager, period))::double as total from exactly),
 pos as (select * exclude (total), case when total > 0 then value / total else 0 end as weight,
   row_number() over (partition by manager, period order by value desc, stock) as position_rank from g window w as (partition by manager, period)),

@@ -29,3 +29,19 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str = "10 minutes") -> D
 def once(events: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:
     """Each key's events once, within the watermark on a stream."""
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+
+
+def rolling_budget(events: DataFrame, ts: str, ident: str, capacity: int, seconds: int = 60) -> DataFrame:
+    """ident, ts, used, remaining: events from ``seconds`` before each event up to it, both ends included, and what is left.
+
+    Events of one time count once each, whatever their order.  Times are dealt to stretches of the
+    window's length, each with the counts of the one before, so no task holds all events; a burst
+    is one count for each different time.
+    """
+    width = seconds * 1_000_000
+    at = events.select(F.col(ident), F.col(ts), F.unix_micros(F.col(ts).cast("timestamp")).alias("__at")).withColumn("__b", F.floor(F.col("__at") / width))
+    counts = at.groupBy("__b", "__at").agg(F.count("*").alias("__n"))
+    both = counts.select("__b", "__at", "__n", F.lit(True).alias("__own")).unionByName(counts.select((F.col("__b") + 1).alias("__b"), "__at", "__n", F.lit(False).alias("__own")))
+    w = Window.partitionBy("__b").orderBy("__at").rangeBetween(-width, 0)
+    used = both.withColumn("used", F.sum("__n").over(w)).where("__own").select("__b", "__at", "used")
+    return at.join(used, ["__b", "__at"]).select(ident, ts, "used", F.greatest(F.lit(capacity) - F.col("used"), F.lit(0)).alias("remaining"))
