@@ -18,14 +18,28 @@ def form_index(lines: DataFrame, forms: tuple[str, ...] = ("13F-HR", "13F-HR/A")
     return rows.withColumn("accession", F.regexp_extract("path", r"([0-9]{10}-[0-9]{2}-[0-9]{6})", 1))
 
 
+_HOLDING = "infoTable array<struct<nameOfIssuer:string,titleOfClass:string,cusip:string,value:string,sshPrnamt:string,sshPrnamtType:string,shrsOrPrnAmt:struct<sshPrnamt:string,sshPrnamtType:string>,putCall:string,investmentDiscretion:string,votingAuthority:struct<Sole:string,Shared:string,None:string>>>"
+
+
 def holdings_xml(docs: DataFrame, ident: str, xml: str) -> DataFrame:
-    """ident, issuer, cusip, value, shares, share_type, put_call of every holding of an XML column, whatever its name space prefix."""
-    from tallyspark.functions.text import digits_only
+    """ident, issuer, title, cusip, value, shares, share_type, put_call, discretion, voting_sole, voting_shared, voting_none and fingerprint of every holding of an XML column.
 
-    blocks = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<(?:\w+:)?infoTable[ >](.*?)</(?:\w+:)?infoTable>"), F.lit(1))
-    tag = lambda *names: F.coalesce(*[F.nullif(F.trim(F.regexp_extract("block", rf"(?s)<(?:\w+:)?{n}(?:\s[^>]*)?>(.*?)</", 1)), F.lit("")) for n in names])
-    rows = docs.select(ident, F.explode(blocks).alias("block"))
-    return rows.select(ident, tag("nameOfIssuer").alias("issuer"), F.upper(tag("cusip")).alias("cusip"), digits_only(tag("value")).alias("value"), digits_only(tag("sshPrnamt", "shrsOrPrnAmt")).alias("shares"), tag("sshPrnamtType").alias("share_type"), tag("putCall").alias("put_call"))
+    Any name space prefix counts, character references are decoded, amounts may stand flat or in
+    their group; a text that isn't XML gives no rows.  fingerprint is the SHA-256 of the holding's fields.
+    """
+    from tallyspark.functions.text import digits_only, fingerprint
+
+    rows = docs.select(ident, F.explode(F.from_xml(xml, _HOLDING, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})["infoTable"]).alias("h"))
+    tag = lambda *names: F.coalesce(*[F.nullif(F.trim(f"h.{n}"), F.lit("")) for n in names])
+    vote = lambda n: digits_only(tag(f"votingAuthority.{n}"))
+    out = rows.select(
+        ident, tag("nameOfIssuer").alias("issuer"), tag("titleOfClass").alias("title"), F.upper(tag("cusip")).alias("cusip"), digits_only(tag("value")).alias("value"), digits_only(tag("shrsOrPrnAmt.sshPrnamt", "sshPrnamt")).alias("shares"),
+        tag("shrsOrPrnAmt.sshPrnamtType", "sshPrnamtType").alias("share_type"), tag("putCall").alias("put_call"), tag("investmentDiscretion").alias("discretion"), vote("Sole").alias("voting_sole"), vote("Shared").alias("voting_shared"), vote("None").alias("voting_none"),
+    )
+    texts = ("cusip", "issuer", "title", "share_type", "put_call", "discretion")
+    numbers = ("value", "shares", "voting_sole", "voting_shared", "voting_none")
+    order = ["cusip", "issuer", "title", "value", "shares", "share_type", "put_call", "discretion", "voting_sole", "voting_shared", "voting_none"]
+    return out.withColumn("fingerprint", fingerprint({c: F.col(c) for c in texts}, {c: F.col(c) for c in numbers}, order))
 
 
 def cover_page(docs: DataFrame, ident: str, text: str) -> DataFrame:
