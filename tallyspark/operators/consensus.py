@@ -18,7 +18,7 @@ def exact_parts(c: str) -> dict[str, Column]:
     v = F.col(c).cast("double")
     big = F.isnan(v) | (F.abs(v) >= LARGE)
     unit = F.when(~big, F.floor(v))
-    part = F.when(~big, F.round((v - F.floor(v)) * 1e6).cast("long"))
+    part = F.when(~big, F.floor((v - F.floor(v)) * 1e6 + 0.5))
     return {f"{c}_units": F.try_sum(unit), f"{c}_parts": F.try_sum(part), f"{c}_plain": F.sum(v), f"{c}_big": F.bool_or(big)}
 
 
