@@ -8,7 +8,7 @@ are found by rolling (Karp-Rabin) hashes.  An item leaks into a document when it
 cover ``COVERAGE`` of the item's words, in whatever order they stand in the document.
 
 The benchmark is broadcast only if its text is at most ``BROADCAST_CHARS``; a larger one
-is joined with the documents on seeds (``candidate_pairs``), with equal results.
+is joined with the documents on seeds (``_joined_leaks``), with equal results.
 
 Null and empty texts and items match nothing; very long texts are searched whole; ties
 between equally long tiles go to the earlier place in the item, then in the document;
@@ -175,9 +175,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, thr
     """The documents, with all of their columns, into which no item leaks."""
     found = _collected(benchmark, min_match)
     if found is None:
-        keyed = docs.withColumn("__key", F.sha2("text", 256))
         bad = _joined_leaks(docs.select("doc_id", "text"), benchmark, min_match, threshold, keep_key=True).select("__key").distinct()
-        return keyed.join(bad, "__key", "left_anti").drop("__key")
+        return docs.join(bad, F.sha2(docs["text"], 256) == bad["__key"], "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 import tempfile
 import uuid
@@ -19,9 +20,11 @@ FILTER_BITS = 1 << 26
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one only for local sessions without it (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them see")
         folder = "file://" + tempfile.mkdtemp()
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -76,6 +76,8 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(g, "BROADCAST_CHARS", 10)
     assert {tuple(r)[:4] for r in g.leaks(df, bench).collect()} == want
     assert {(r.doc_id, r.text) for r in g.clean(df, bench).collect()} == kept
+    own = df.selectExpr("*", "'own' as __key")
+    assert g.clean(own, bench).columns == own.columns and {(r.doc_id, r["__key"]) for r in g.clean(own, bench).collect()} == {(d, "own") for d, _ in kept}
 
 
 def test_empty(spark):
