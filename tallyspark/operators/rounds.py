@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -14,7 +15,7 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not sc.master.startswith("local"):
+            if not re.match(r"local(\[|$)", sc.master):
                 raise ValueError("spark.checkpoint.dir is unset")
             folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
