@@ -88,20 +88,19 @@ def insert_if_absent(table: DataFrame, news: DataFrame, keys: Sequence[str]) ->
     return table.unionByName(news.dropDuplicates(list(keys)).join(table, list(keys), "left_anti").select(*table.columns))
 
 
-def placed(rows: DataFrame, value: str, ident: str, buckets: int = 64) -> DataFrame:
-    """Adds place: 1 for the greatest value, ties by ident, nulls last; no window holds all rows.
+def placed(rows: DataFrame, value: str, ident: str) -> DataFrame:
+    """Adds place: 1 for the greatest value, ties by ident, nulls last; no task holds all rows.
 
-    Rows are dealt by quantiles of the value (one small row, joined to all), ranked within their
-    bucket, and moved by the number of rows in the buckets before it.  Equal values share a bucket.
+    A sort over all tasks numbers the rows of each; the sorted rows are checkpointed, so that the counts of
+    the tasks before (a short array, one entry a task) and the numbers are of the same sort.
     """
-    at = [i / buckets for i in range(1, buckets)]
-    bounds = rows.agg(F.array_distinct(F.percentile_approx(value, at)).alias("__bounds"))
-    above = F.size(F.filter("__bounds", lambda b: b > F.col(value)))
-    dealt = rows.join(F.broadcast(bounds), F.lit(True)).withColumn("__b", F.when(F.col(value).isNull(), buckets).otherwise(F.coalesce(above, F.lit(0)))).drop("__bounds")
-    before = dealt.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = before.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))  # a row a bucket
-    inside = F.row_number().over(Window.partitionBy("__b").orderBy(F.desc_nulls_last(value), ident))
-    return dealt.withColumn("__in", inside).join(F.broadcast(before), "__b").withColumn("place", F.col("__before") + F.col("__in")).drop("__b", "__in", "__before")
+    from .rounds import cut
+
+    task, mask = F.shiftright("__m", 33), F.lit((1 << 33) - 1)
+    dealt = cut(rows.orderBy(F.desc_nulls_last(value), ident).withColumn("__m", F.monotonically_increasing_id()))
+    sizes = dealt.groupBy(task.alias("p")).agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("p", "n")).alias("__sizes"))
+    before = F.aggregate(F.filter("__sizes", lambda x: x["p"] < task), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return dealt.join(F.broadcast(sizes), F.lit(True)).withColumn("place", before + F.col("__m").bitwiseAND(mask) + 1).drop("__m", "__sizes")
 
 
 def version_number(version: Column) -> Column:

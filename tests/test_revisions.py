@@ -174,7 +174,7 @@ def test_conflicts_versions_places_and_rolling(spark):
     assert sorted((r.k, r.id) for r in L.newest_version(v, ["k"], "v", "id").collect()) == [(1, 2), (2, 2), (3, 6), (4, 1)]
     rng = random.Random(6)
     rows = [(i, None if i % 9 == 0 else float(rng.randrange(40))) for i in range(500)]
-    got = {r.i: r.place for r in L.placed(spark.createDataFrame(rows, "i long, v double"), "v", "i", 16).collect()}
+    got = {r.i: r.place for r in L.placed(spark.createDataFrame(rows, "i long, v double"), "v", "i").collect()}
     order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert got == {r[0]: k + 1 for k, r in enumerate(order)}
     times = [T0 + datetime.timedelta(microseconds=rng.randrange(10**9)) for _ in range(300)] + [T0] * 5 + [T0 + datetime.timedelta(seconds=60)]
