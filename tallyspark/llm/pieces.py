@@ -45,6 +45,7 @@ from .textbatch import chunks
 
 CHUNK = 32_768
 SPACE = "▁"
+#: parts that are remembered, half of them in the older generation
 KEEP = 1 << 19
 #: characters of a remembered start
 NEAR = 5
@@ -111,6 +112,8 @@ class Pieces(Vocabulary):
         #: every start of a piece, with its id or -1
         self.prefixes = {p[:k]: -1 for p in self.id for k in range(1, len(p) + 1)} | self.id
         self.paths: dict[str, tuple[int, ...]] = {}
+        #: the generation before; what is met again moves to ``paths``
+        self.older: dict[str, tuple[int, ...]] = {}
         self.begun: dict[str, list[tuple[int, int]]] = {}
         self.short: dict[str, list[tuple[int, int]]] = {}
 
@@ -276,6 +279,10 @@ class Pieces(Vocabulary):
         """Ids of a part between cuts, remembered; it is cut where no piece can cross, a short one
         only before its last character (a mark after a word, mostly)."""
         ids = self.paths.get(s)
+        if ids is None:
+            ids = self.older.get(s)
+            if ids is not None:
+                self.remember(s, ids)
         if ids is None:
             known, inside, out, begin, n = self.paths, self.inside, [], 0, len(s)
             for i in range(1 if n > 24 else n - 1 or 1, n):
@@ -291,13 +298,16 @@ class Pieces(Vocabulary):
                     self.emit(path, out)
                 else:
                     out = path
-            if len(self.paths) >= KEEP:
-                self.paths.clear()
             ids = tuple(out)
             if len(s) <= 64:
-                self.paths[s] = ids
+                self.remember(s, ids)
         return ids
 
+    def remember(self, s: str, ids: tuple[int, ...]) -> None:
+        if len(self.paths) >= KEEP // 2:
+            self.older, self.paths = self.paths, {}
+        self.paths[s] = ids
+
     def middle(self, s: str, out: list[int]) -> None:
         """Appends the ids of a text that starts and ends at cuts."""
         known = self.paths
