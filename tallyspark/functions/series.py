@@ -69,11 +69,12 @@ def is_value(token: Column) -> Column:
     return F.regexp_replace(token, r"(?i)(\d+)\.[qg](\d*)", "$1.9$2").rlike(_VALUE)
 
 
-def labelled_series(df: DataFrame, text: str, label: str, percent: bool = False, missing_last_year: bool = False, most: int = 12) -> DataFrame:
+def labelled_series(df: DataFrame, text: str, label: str, percent: bool = False, missing_last_year: bool = False, most: int = 12, not_label: str | None = None) -> DataFrame:
     """Adds years (the last ``most`` of the text's run), series (a value a year) and projection.
 
     The series is the nearest row of values before the first token that matches ``label`` (a
-    pattern); a value too many goes first where the row begins after another row's label.
+    pattern); a value too many goes first where the row begins after another row's label, which a
+    word that matches ``not_label`` (a publisher's name, say) is not.
     Fewer values than years are aligned by ``align_years``, or, with missing_last_year, from
     the first year on.  projection is the first value after the label.  Without a label the
     series is all null; without a run of years it is empty.  Rules for single page layouts
@@ -91,7 +92,7 @@ def labelled_series(df: DataFrame, text: str, label: str, percent: bool = False,
     rows = rows.withColumn("__stop", F.array_position(F.transform("__from", is_value), False).cast("int"))
     rows = rows.withColumn("__raw", F.reverse(F.when(c("__stop") > 0, first(c("__from"), c("__stop") - 1)).otherwise(c("__from"))))
     stop = F.when(c("__stop") > 0, F.get("__from", c("__stop") - 1))
-    row_label = F.coalesce(stop.rlike("[A-Za-z]") & ~F.upper(stop).contains("VALUELINE"), F.lit(False))
+    row_label = F.coalesce(stop.rlike("[A-Za-z]") & (~stop.rlike(f"(?i){not_label}") if not_label else F.lit(True)), F.lit(False))
     rows = rows.withColumn("__years", F.when((n("__all") > n("years")) & (n("__raw") > n("years")), c("__all")).otherwise(c("years")))
     spare = (n("__raw") > n("__years")) | ((n("__raw") == n("__years")) if missing_last_year else F.lit(False))
     rows = rows.withColumn("__raw", F.when(row_label & spare, last(c("__raw"), n("__raw") - 1)).otherwise(c("__raw")))

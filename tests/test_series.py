@@ -44,6 +44,8 @@ def test_labelled_series(spark):
     assert series(spark, head + "Debt 1 2 3 Sales x 7")[0] == {2018: None, 2019: None, 2020: None, 2021: 1, 2022: 2, 2023: 3}
     assert series(spark, head + "Debt 1 2 3 Sales", missing_last_year=True)[0] == {2018: 1, 2019: 2, 2020: 3, 2021: None, 2022: None, 2023: None}
     assert series(spark, head + "Debt 9 1 2 3 4 5 6 Sales")[0] == {2018: 1, 2019: 2, 2020: 3, 2021: 4, 2022: 5, 2023: 6}
+    assert series(spark, head + "SomePress 9 1 2 3 4 5 6 Sales", not_label="press")[0] == series(spark, head + "Debt 1 2 3 4 5 6 Sales")[0]
+    assert series(spark, head + "SomePress 1 2 3 4 5 6 Sales", missing_last_year=True, not_label="press")[0][2018] == 1
     assert series(spark, head + "Debt 10% 2 .5 4 5 60% Sales 12%", percent=True) == ({2018: 0.1, 2019: 0.02, 2020: 0.5, 2021: 0.04, 2022: 0.05, 2023: 0.6}, 0.12)
     assert series(spark, head + "Debt 1 2 3") == (dict.fromkeys(range(2018, 2024)), None)
     assert series(spark, "no years Sales 3") == ({}, None)
