@@ -543,7 +543,9 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load_vocabulary(model)
         for b in (x for batch in batches for x in chunks(batch, "text", SLICE)):
-            texts = [None if not x.is_valid else m.decode(x.values.to_pylist()) for x in b.column(2)]
+            lists = b.column(2)
+            flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+            texts = [m.decode(flat[i:j].tolist()) if valid else None for valid, i, j in zip(lists.is_valid().to_pylist(), at, at[1:])]
             yield pa.record_batch([*b.columns, pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "n_chunks", "decoded"])
 
     return encoded.select("doc_id", "text", "ids", "n_chunks").mapInArrow(task, "doc_id long, text string, ids array<int>, n_chunks int, decoded string")
