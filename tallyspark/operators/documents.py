@@ -207,3 +207,17 @@ def lineage(facts: DataFrame, extractions: DataFrame) -> DataFrame:
     agree = F.col("period_end").isNull() | F.col("p").isNull() | (F.col("period_end") == F.col("p"))
     other = rest.join(e, ["document", "metric_key"]).where(agree).groupBy("fact_id").agg(F.max("extraction").alias("extraction"))
     return own.unionByName(other)
+
+
+def marked(rows: DataFrame, json_text: str, key: str, value: Column) -> DataFrame:
+    """rows with ``changed``; the JSON object of ``json_text`` gets ``key`` where it lacks it or holds null.
+
+    Other keys keep their values of any kind and stand before the new one.  A null, broken or other text becomes
+    an object of that key alone; where ``value`` is null nothing changes.
+    """
+    old = F.from_json(json_text, "map<string,variant>")
+    has = F.coalesce(F.exists(F.map_entries(old), lambda e: (e["key"] == key) & F.coalesce(F.schema_of_variant(e["value"]) != "VOID", F.lit(False))), F.lit(False))
+    rest = F.coalesce(F.map_filter(old, lambda k, _: k != key), F.expr("cast(map() as map<string,variant>)"))
+    changed = ~has & value.isNotNull()
+    new = F.to_json(F.map_concat(rest, F.create_map(F.lit(key), value.cast("variant"))))
+    return rows.withColumns({"changed": changed, json_text: F.when(changed, new).otherwise(F.col(json_text))})

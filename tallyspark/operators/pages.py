@@ -7,7 +7,7 @@ counts (a missing one last), then the newest creation, then the greatest fact id
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dates as D
@@ -281,3 +281,14 @@ def picked_bars(charts: DataFrame, symbol: str, payload: str, target: Column, zo
     bar = F.struct(part("open", F.col("close")).alias("open"), part("high", F.col("close")).alias("high"), part("low", F.col("close")).alias("low"), "close", part("volume", F.lit(0.0)).alias("volume"))
     out = rows.groupBy("symbol").agg(F.min_by(bar, "i").alias("b")).select("symbol", "b.*")
     return out.dropna(subset=["open", "high", "low", "volume"])
+
+
+def payload(rows: DataFrame, by: str, order: list[Column], fields: list[str], limit: int = 50) -> DataFrame:
+    """by, payload: a nested JSON text a group, with its key, the number of its rows and the first ``limit`` of them as items.
+
+    The limit is the page's; nulls are written; rows without a key are left out.  ``order`` must be total for texts to be the same at every run.
+    """
+    top = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__rn") <= limit)
+    items = top.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("__rn", F.struct(*fields).alias("item")))), lambda x: x["item"]).alias("items"))
+    whole = rows.groupBy(by).agg(F.count("*").alias("total")).join(items, by)
+    return whole.select(by, F.to_json(F.struct(by, "total", "items"), {"ignoreNullFields": "false"}).alias("payload"))

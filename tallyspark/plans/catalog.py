@@ -485,4 +485,4 @@ def x01_scaled(spark, sf):
     return s.select("s_suppkey", F.round(v["value"], 2).alias("value"), v["unit"].alias("unit"))
 
 
-from . import pages, parts, reports, revisions  # noqa: E402, F401
+from . import jobs, pages, parts, reports, revisions  # noqa: E402, F401

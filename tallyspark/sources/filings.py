@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.text import issuer_name
+
 
 def form_index(lines: DataFrame, forms: tuple[str, ...] = ("13F-HR", "13F-HR/A")) -> DataFrame:
     """form, company, cik (ten digits), filed, path of a quarterly index's lines (column value); bad dates and other forms are dropped.
@@ -83,3 +85,14 @@ def new_content(docs: DataFrame, stored: DataFrame) -> DataFrame:
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
+
+
+def ticker_map(docs: DataFrame, ident: str, json: str) -> DataFrame:
+    """name, ticker, title of JSON maps of companies; a normal name's first entry counts, by ``ident`` and place.
+
+    Entries without a ticker, a title or a normal name give nothing, nor do broken texts.
+    """
+    rows = docs.select(F.col(ident).alias("__id"), F.posexplode(F.map_values(F.from_json(json, "map<string,struct<ticker:string,title:string>>"))).alias("place", "x"))
+    rows = rows.select("__id", "place", F.upper(F.trim("x.ticker")).alias("ticker"), F.trim("x.title").alias("title")).withColumn("name", issuer_name(F.col("title")))
+    first = rows.where("ticker != '' and title != '' and name != ''").groupBy("name").agg(F.min(F.struct("__id", "place", "ticker", "title")).alias("x"))
+    return first.select("name", "x.ticker", "x.title")
