@@ -16,7 +16,10 @@ elements, and elements whose class, id or role names a menu, sidebar, advert,
 notice, comment list and so on.  Within an ``article`` or ``main`` a name takes more:
 headings stay, paragraphs, sections and other parts of a text (PROSE) named so go only
 where their own text-to-tag ratio is under the threshold too, other elements go for a
-whole class, id or role token, or for a word of one with a ratio under it.  Character references are decoded, white space in
+whole class, id or role token, or for a word of one with a ratio under it.  Where such an
+element has no end tag of its own, its end is unknown, and each line after its start goes or stays by
+its own ratio.  Outside them, items of a list before the first or after the last line of a ratio over the
+threshold go (menus of plain items).  Character references are decoded, white space in
 a block becomes one space, blocks are joined by a line feed.
 
 A null or empty page gives an empty text; unclosed and misnested elements are
@@ -77,12 +80,16 @@ def _hidden(attrs) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, boilerplate, ids of the open ROOTS, whether mostly link text, ids of the open doubtful elements) of each line."""
+    """Collects (text, tags, boilerplate, ids of the open ROOTS, whether mostly link text, ids of the open doubtful elements,
+    ids of the open elements named as boilerplate within an article, whether in a list) of each line."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...], bool, tuple[int, ...]]] = []
-        self.open: list[tuple[str, bool, bool]] = []
+        self.lines: list[tuple[str, int, bool, tuple[int, ...], bool, tuple[int, ...], tuple[int, ...], bool]] = []
+        self.open: list[tuple[str, bool, bool, bool]] = []
+        self.named: list[int] = []
+        self.n_named = self.items = 0
+        self.unclosed: set[int] = set()
         self.doubts: list[int] = []
         self.n_doubts = 0
         self.roots: list[int] = []
@@ -96,7 +103,7 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = _WS.sub(" ", "".join(self.parts)).strip() if self.parts else ""
         if text:
-            self.lines.append((text, self.tags, self.skipping > 0, tuple(self.roots), 2 * self.linked > len(text), tuple(self.doubts)))
+            self.lines.append((text, self.tags, self.skipping > 0, tuple(self.roots), 2 * self.linked > len(text), tuple(self.doubts), tuple(self.named), self.items > 0))
             self.tags = 0
         self.parts = []
         self.linked = 0
@@ -112,17 +119,22 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         skip = tag in SKIP or (tag not in ("html", "body", *ROOTS) and _hinted(attrs))
-        doubt = False
+        doubt = named = False
         if skip and tag not in SKIP and not _hidden(attrs) and any(self.root_names[r] != "body" for r in self.roots):
             skip = tag not in HEADINGS and tag not in PROSE and _named(attrs)
             doubt = not skip and tag not in HEADINGS
-        if doubt or (skip and not self.skipping):
+            skip, named = False, skip
+        if doubt or named or (skip and not self.skipping):
             self.end_line()
         self.skipping += skip
+        if named:
+            self.named.append(self.n_named)
+            self.n_named += 1
+        self.items += tag == "li"
         if doubt:
             self.doubts.append(self.n_doubts)
             self.n_doubts += 1
-        self.open.append((tag, skip, doubt))
+        self.open.append((tag, skip, doubt, named))
         self.links += tag == "a"
         if tag in ROOTS:
             self.root_names.append(tag)
@@ -134,12 +146,18 @@ class Lines(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def pop(self) -> str:
-        tag, skip, doubt = self.open.pop()
-        if skip or doubt:
+    def pop(self, own: str) -> str:
+        """Closes the innermost element; ``own`` is the name that the end tag has."""
+        tag, skip, doubt, named = self.open.pop()
+        if skip or doubt or named:
             self.end_line()
         if doubt:
             self.doubts.pop()
+        if named:
+            k = self.named.pop()
+            if tag != own:
+                self.unclosed.add(k)
+        self.items -= tag == "li"
         self.skipping -= skip
         self.links -= tag == "a"
         if tag in ROOTS:
@@ -147,9 +165,9 @@ class Lines(HTMLParser):
         return tag
 
     def close_upto(self, tag: str, barrier: set[str]) -> None:
-        for name, _, _ in reversed(self.open):
+        for name, *_ in reversed(self.open):
             if name == tag:
-                while self.pop() != tag:
+                while self.pop(tag) != tag:
                     pass
                 return
             if name in barrier:
@@ -173,6 +191,7 @@ class Lines(HTMLParser):
     def close(self) -> None:
         super().close()
         self.end_line()
+        self.unclosed.update(self.named)
 
 
 def smooth(ratios: list[float], sigma: float = SIGMA) -> list[float]:
@@ -207,7 +226,13 @@ def extract(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD
     lines = parser.lines
     if not lines:
         return ""
+    if parser.n_named:
+        lines = [(text, n, skip or not parser.unclosed.issuperset(named), *rest, named, item) for text, n, skip, *rest, named, item in lines]
     raw, ratios, limit = clusters(lines, sigma, threshold)
+    if parser.unclosed:
+        # after the start of an element without an end tag each line stands for itself
+        lines = [(text, n, skip or (len(named) > 0 and x < limit), *rest, named, item) for x, (text, n, skip, *rest, named, item) in zip(raw, lines)]
+        raw, ratios, limit = clusters(lines, sigma, threshold)
     if parser.n_doubts:
         # elements of a doubtful name go where all of their text has a low ratio
         size, tags = [0] * parser.n_doubts, [0] * parser.n_doubts
@@ -216,15 +241,20 @@ def extract(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD
                 size[k] += len(line[0])
                 tags[k] += line[1]
         low = [n < limit * max(1, t) for n, t in zip(size, tags)]
-        lines = [(text, n, skip or any(low[k] for k in doubts), roots, link, doubts) for text, n, skip, roots, link, doubts in lines]
+        lines = [(text, n, skip or any(low[k] for k in doubts), roots, link, doubts, *rest) for text, n, skip, roots, link, doubts, *rest in lines]
         raw, ratios, limit = clusters(lines, sigma, threshold)
     # links beside a content region do not take its ratio
-    content = [x >= limit and not skip and (not link or y >= limit) for x, y, (_, _, skip, _, link, _) in zip(ratios, raw, lines)]
-    doubtful = [any(parser.root_hinted[k] for k in roots) for _, _, _, roots, _, _ in lines]
+    content = [x >= limit and not skip and (not link or y >= limit) for x, y, (_, _, skip, _, link, *_) in zip(ratios, raw, lines)]
+    # items of a list outside all lines of a high ratio of their own, and outside articles, are a menu's
+    high = [k for k, y in enumerate(raw) if y >= limit]
+    for k, line in enumerate(lines):
+        if line[7] and raw[k] < limit and not (high and high[0] < k < high[-1]) and all(parser.root_names[r] == "body" for r in line[3]):
+            lines[k], content[k] = (*line[:2], True, *line[3:]), False
+    doubtful = [any(parser.root_hinted[k] for k in line[3]) for line in lines]
     weight = [0, 0]
     for inside, doubt, line in zip(content, doubtful, lines):
         weight[doubt] += inside * len(line[0])
-    gone = [skip or (doubt and weight[1] <= weight[0]) for doubt, (_, _, skip, _, _, _) in zip(doubtful, lines)]
+    gone = [skip or (doubt and weight[1] <= weight[0]) for doubt, (_, _, skip, *_) in zip(doubtful, lines)]
     chosen = [k for k, inside in enumerate(content) if inside and not gone[k]]
     if not chosen:
         return ""
@@ -238,7 +268,7 @@ def extract(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD
     def stays(k: int) -> bool:
         if content[k]:
             return True
-        _, _, _, roots, link, _ = lines[k]
+        _, _, _, roots, link, *_ = lines[k]
         own = next((r for r in reversed(roots) if r in held), None)
         if own is not None and own not in outer:
             return True

@@ -135,6 +135,24 @@ def test_html_names_within_the_article():
     assert html_text.extract(f"<body><article>{parts}{boxes}</article><p id=legal>{long}e</p></body>").split("\n") == want
 
 
+def test_html_ratios_decide():
+    long = [f"Part {w} of the text has words that go on for quite a while. " * 5 + w for w in "abcd"]
+    # an advert without an end tag takes its own short lines only, wherever the article ends
+    for end in ("</article>", "", "</article></body></html>"):
+        page = f'<body><article><h1>Head</h1><p>{long[0]}</p><div class="ad">Buy<br>now<p>{long[1]}</p><p>{long[2]}</p>{end}'
+        assert html_text.extract(page).split("\n") == ["Head", long[0], long[1], long[2]]
+    # one with an end tag goes whole, however long
+    assert html_text.extract(f'<article><p>{long[0]}</p><div class="ad"><p>{long[1]}</p></div><p>{long[2]}</p></article>').split("\n") == [long[0], long[2]]
+    # menus of plain items go before and after the text; a list within it stays, in an article anywhere
+    menu = "<ul><li>News<li>Sports<li>Terms</ul>"
+    text = f"<div><p>{long[0]}</p><p>{long[1]}</p><ul><li>One<li>Two</ul><p>{long[2]}</p></div>"
+    want = [long[0], long[1], "One", "Two", long[2]]
+    assert html_text.extract(f"<body>{menu}{text}{menu}</body>").split("\n") == want
+    assert html_text.extract(f"<body>{menu}<article>{text}{menu}</article>{menu}</body>").split("\n") == [*want, "News", "Sports", "Terms"]
+    # without ratios a page of short items only is all content
+    assert html_text.extract(menu).split("\n") == ["News", "Sports", "Terms"]
+
+
 def test_html_edges(spark):
     assert [html_text.extract(x) for x in (None, "", "<nav>a</nav>", "plain", "<p>a<p>b", "<")] == ["", "", "", "plain", "a\nb", "<"]
     assert html_text.extract("<article>" + "<div>" * 3000 + "x" + "</div>" * 3000 + "</article>") == "x"
