@@ -103,3 +103,64 @@ def health(blocked: Column, warnings: Column, p0: Column, p1: Column, tasks: Col
     pending = F.coalesce(_filled(reasons), F.concat(_counted(tasks, "task"), F.lit(" pending")))
     summary = F.when(level == "unknown", "Worker heartbeat unavailable; refresh or inspect the workers API.").when(level == "healthy", "No operational blockers detected.").otherwise(pending)
     return F.struct(level.alias("level"), summary.alias("summary"))
+
+
+#: the share of linked holdings and the quarters in a row that count as ready
+READY_LINKED, READY_DEPTH, LONG_DEPTH = 0.8, 4, 8
+_STATE = ["scheduler", "managers", "confirmed", "candidates", "index_fetched", "filings", "failed_filings", "holdings", "linked", "amendments", "quality", "depth"]
+
+
+def _rules(state: DataFrame, ident: str, rules: list[tuple[Column, ...]], names: list[str]) -> DataFrame:
+    """A row a rule and row of state whose first column isn't null, in the rules' order."""
+    items = F.array(*[F.when(r[0].isNotNull(), F.struct(F.lit(k).alias("place"), *[c.alias(n) for n, c in zip(names, r)])) for k, r in enumerate(rules)])
+    return state.select(ident, F.explode(F.array_compact(items)).alias("x")).select(ident, "x.*")
+
+
+def checklist(state: DataFrame, ident: str) -> DataFrame:
+    """ident, place (from 0), status (complete, warning, blocked), code, action of the nine steps of a setup.
+
+    state: ident, scheduler (boolean), managers, confirmed, index_fetched (boolean), filings, holdings, linked (share, null
+    if none is known), amendments, quality, depth.  A null count or flag is a step not done.
+    """
+    c = {name: F.col(name) for name in _STATE if name in state.columns}
+    settled = c["amendments"].isin("no_amendments", "amendments_applied")
+    # fixed values: codes and actions of the steps
+    steps = [
+        ("SCHEDULER_CONFIGURED", c["scheduler"], None, "Enable EDGAR_SCHEDULER_ENABLED and redeploy the API service"),
+        ("MANAGER_WHITELIST_SEEDED", c["managers"] > 0, None, "Bootstrap whitelist"),
+        ("MANAGER_CIKS_CONFIRMED", c["confirmed"] > 0, None, "Bootstrap whitelist, match CIK, review candidates"),
+        ("QUARTER_INDEX_FETCHED", c["index_fetched"], None, "Fetch quarter index"),
+        ("FILINGS_AVAILABLE", c["filings"] > 0, None, "Fetch quarter index or inspect whitelist coverage"),
+        ("HOLDINGS_INGESTED", c["holdings"] > 0, None, "Ingest holdings"),
+        ("CUSIP_ENRICHED", c["linked"] >= READY_LINKED, c["linked"].isNotNull(), "Run CUSIP enrichment and bootstrap stocks"),
+        ("QUALITY_CHECKED", (c["quality"] == "passed") & settled, None, "Run quality check and reprocess pending or failed amendments"),
+        ("HISTORICAL_DEPTH_TARGET", c["depth"] >= READY_DEPTH, c["depth"] > 0, "Run historical backfill"),
+    ]
+    rules = [(F.when(done, "complete").when(F.lit(False) if part is None else part, "warning").otherwise("blocked"), F.lit(code), F.lit(action)) for code, done, part, action in steps]
+    return _rules(state, ident, rules, ["status", "code", "action"])
+
+
+def tasks(state: DataFrame, ident: str) -> DataFrame:
+    """ident, seq (from 1), priority, code, action: what is to be done by priority, then in the order below.
+
+    state: as for ``checklist``, with candidates and failed_filings.  Tasks that single jobs or workers call for aren't among them.
+    """
+    c = {name: F.col(name) for name in _STATE}
+    some = c["confirmed"] > 0
+    # fixed values: priorities, codes and actions
+    wanted = [
+        ("P0", "EDGAR_SCHEDULER_DISABLED", ~F.coalesce(c["scheduler"], F.lit(False)), "Enable EDGAR_SCHEDULER_ENABLED and redeploy the API service"),
+        ("P0", "NO_CONFIRMED_MANAGER_CIK_WHITELIST", ~F.coalesce(some, F.lit(False)), "Bootstrap whitelist, match CIK, review candidates"),
+        ("P1", "CIK_CANDIDATES_NEED_REVIEW", c["candidates"] > 0, "Confirm or reject candidate"),
+        ("P1", "QUARTER_INDEX_FETCHED_NO_FILINGS", c["index_fetched"] & (c["filings"] == 0), "Check whitelist and form parser"),
+        ("P1", "FILING_PARSE_FAILURES", c["failed_filings"] > 0, "Retry failed filings or inspect EDGAR document"),
+        ("P1", "AMENDMENT_PENDING_OR_FAILED", c["amendments"].isin("amendments_pending", "amendment_failed"), "Run Reprocess amendment for each pending or failed 13F/A accession"),
+        ("P2", "LOW_STOCK_LINK_COVERAGE", c["linked"] < READY_LINKED, "Run CUSIP enrichment, review unmatched CUSIPs"),
+        ("P1", "QUALITY_ERRORS", c["quality"] == "failed", "Inspect latest quality report and rerun quality check after fixes"),
+        ("P2", "QUALITY_WARNINGS", c["quality"] == "warning", "Review quality warnings and accept or fix"),
+        ("P2", "HISTORICAL_COVERAGE_BELOW_TARGET", some & (c["depth"] < READY_DEPTH), "Run historical backfill and show feature-depth warning"),
+        ("P3", "EXTENDED_BACKFILL_RECOMMENDED", some & (c["depth"] < LONG_DEPTH), "Run historical backfill when rate-limit budget allows"),
+    ]
+    found = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(p).alias("priority"), F.lit(k).alias("place"), F.lit(code).alias("code"), F.lit(action).alias("action"))) for k, (p, code, when, action) in enumerate(wanted)]))
+    rows = state.select(ident, F.posexplode(F.sort_array(found)).alias("seq", "x"))
+    return rows.select(ident, (F.col("seq") + 1).alias("seq"), "x.priority", "x.code", "x.action")

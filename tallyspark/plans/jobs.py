@@ -115,3 +115,39 @@ def s20_holders_payload(spark, sf):
     brands = A.table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("stock"))
     rows = A.table(spark, sf, "lineitem").join(brands, F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("l_suppkey").alias("manager"), "stock").agg(F.count("*").alias("rows"), F.count_distinct("l_orderkey").alias("orders"))
     return PG.payload(rows, "stock", [F.desc("rows"), F.asc("manager")], ["manager", "rows", "orders"])
+
+
+_STATE = """s as (select c_custkey as site, c_custkey % 3 > 0 as scheduler, count(o_orderkey) as managers, count(*) filter (o_orderstatus = 'F') as confirmed, count(*) filter (o_orderpriority[1] = '1') as candidates, c_custkey % 4 > 0 as index_fetched,
+  count(*) filter (o_orderkey % 3 = 0) as filings, count(*) filter (o_orderkey % 8 = 1) as failed_filings, count(*) filter (o_orderkey % 4 = 0) as holdings, case when count(o_orderkey) > 0 then count(*) filter (o_orderpriority[1] <> '5') / count(o_orderkey) end as linked,
+  ['no_amendments', 'amendments_applied', 'amendments_pending', 'amendment_failed', null][1 + (c_custkey % 5)::int] as amendments, ['passed', 'warning', 'failed'][1 + (c_custkey % 7 % 3)::int] as quality, count(distinct year(o_orderdate)) + count(*) filter (o_orderkey % 5 = 0) as depth
+  from customer left join orders on o_custkey = c_custkey group by c_custkey)"""
+
+
+def site_states(spark, sf):
+    """Customers as sites with the state of their setup, counted from their orders."""
+    o, k, first, site = A.table(spark, sf, "orders"), F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1), F.col("c_custkey")
+    counts = [F.count("*").alias("managers"), F.count_if(F.col("o_orderstatus") == "F").alias("confirmed"), F.count_if(first == "1").alias("candidates"), F.count_if(k % 3 == 0).alias("filings"), F.count_if(k % 8 == 1).alias("failed_filings"), F.count_if(k % 4 == 0).alias("holdings")]
+    per = o.groupBy("o_custkey").agg(*counts, (F.count_if(first != "5") / F.count("*")).alias("linked"), (F.count_distinct(F.year("o_orderdate")) + F.count_if(k % 5 == 0)).alias("depth"))
+    rows = A.table(spark, sf, "customer").join(per, site == F.col("o_custkey"), "left").fillna(0, ["managers", "confirmed", "candidates", "filings", "failed_filings", "holdings", "depth"])
+    amendments = F.element_at(F.array(*map(F.lit, ("no_amendments", "amendments_applied", "amendments_pending", "amendment_failed", None))), (site % 5 + 1).cast("int"))
+    quality = F.element_at(F.array(*map(F.lit, ("passed", "warning", "failed"))), (site % 7 % 3 + 1).cast("int"))
+    return rows.withColumns({"site": site, "scheduler": site % 3 > 0, "index_fetched": site % 4 > 0, "amendments": amendments, "quality": quality})
+
+
+@query(f"""with {_STATE},
+i as (select site, 'SCHEDULER_CONFIGURED' as code, scheduler as done, false as part from s union all select site, 'MANAGER_WHITELIST_SEEDED', managers > 0, false from s union all select site, 'MANAGER_CIKS_CONFIRMED', confirmed > 0, false from s union all
+  select site, 'QUARTER_INDEX_FETCHED', index_fetched, false from s union all select site, 'FILINGS_AVAILABLE', filings > 0, false from s union all select site, 'HOLDINGS_INGESTED', holdings > 0, false from s union all
+  select site, 'CUSIP_ENRICHED', linked >= 0.8, linked is not null from s union all select site, 'QUALITY_CHECKED', quality = 'passed' and amendments in ('no_amendments', 'amendments_applied'), false from s union all select site, 'HISTORICAL_DEPTH_TARGET', depth >= 4, depth > 0 from s)
+select site, code, case when done then 'complete' when part then 'warning' else 'blocked' end as status from i""")
+def m20_setup_checklist(spark, sf):
+    return JOB.checklist(site_states(spark, sf), "site").select("site", "code", "status")
+
+
+@query(f"""with {_STATE},
+t as (select site, 'P0' as priority, 1 as place, 'EDGAR_SCHEDULER_DISABLED' as code from s where not scheduler union all select site, 'P0', 2, 'NO_CONFIRMED_MANAGER_CIK_WHITELIST' from s where confirmed = 0 union all select site, 'P1', 3, 'CIK_CANDIDATES_NEED_REVIEW' from s where candidates > 0 union all
+  select site, 'P1', 4, 'QUARTER_INDEX_FETCHED_NO_FILINGS' from s where index_fetched and filings = 0 union all select site, 'P1', 5, 'FILING_PARSE_FAILURES' from s where failed_filings > 0 union all select site, 'P1', 6, 'AMENDMENT_PENDING_OR_FAILED' from s where amendments in ('amendments_pending', 'amendment_failed') union all
+  select site, 'P2', 7, 'LOW_STOCK_LINK_COVERAGE' from s where linked < 0.8 union all select site, 'P1', 8, 'QUALITY_ERRORS' from s where quality = 'failed' union all select site, 'P2', 9, 'QUALITY_WARNINGS' from s where quality = 'warning' union all
+  select site, 'P2', 10, 'HISTORICAL_COVERAGE_BELOW_TARGET' from s where confirmed > 0 and depth < 4 union all select site, 'P3', 11, 'EXTENDED_BACKFILL_RECOMMENDED' from s where confirmed > 0 and depth < 8)
+select site, row_number() over (partition by site order by priority, place) as seq, priority, code from t""")
+def m20_tasks(spark, sf):
+    return JOB.tasks(site_states(spark, sf), "site").select("site", F.col("seq").cast("long").alias("seq"), "priority", "code")

@@ -85,3 +85,16 @@ def test_payload(spark):
     got = PG.payload(df, "by", [F.desc("i")], ["i", "v"], 3).collect()
     assert [json.loads(r.payload) for r in got] == [{"by": "g", "total": 5, "items": [{"i": 4, "v": 4}, {"i": 3, "v": None}, {"i": 2, "v": 2}]}]
     assert PG.payload(df.limit(0), "by", [F.desc("i")], ["i"]).count() == 0
+
+
+def test_setup(spark):
+    schema = "id int, scheduler boolean, managers long, confirmed long, candidates long, index_fetched boolean, filings long, failed_filings long, holdings long, linked double, amendments string, quality string, depth long, code string"
+    rows = [(1, True, 2, 2, 0, True, 3, 0, 9, 0.8, "no_amendments", "passed", 8, "x"), (2, *[None] * 12, "x"), (3, False, 1, 1, 1, True, 0, 2, 0, 0.5, "amendment_failed", "failed", 3, "x")]
+    df = spark.createDataFrame(rows, schema)
+    status = {}
+    for r in JOB.checklist(df, "id").orderBy("id", "place").collect():
+        status.setdefault(r.id, []).append(r.status[0])
+    assert {k: "".join(v) for k, v in status.items()} == {1: "c" * 9, 2: "b" * 9, 3: "bcccbbwbw"}
+    todo = [(r.id, r.priority) for r in JOB.tasks(df, "id").orderBy("id", "seq").collect()]
+    assert todo == [(2, "P0"), (2, "P0"), *[(3, p) for p in ("P0", "P1", "P1", "P1", "P1", "P1", "P2", "P2", "P3")]]
+    assert JOB.tasks(df.limit(0), "id").count() == JOB.checklist(df.limit(0), "id").count() == 0
