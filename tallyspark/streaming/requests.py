@@ -36,12 +36,17 @@ def rolling_budget(events: DataFrame, ts: str, ident: str, capacity: int, second
 
     Events of one time count once each, whatever their order.  Times are dealt to stretches of the
     window's length, each with the counts of the one before, so no task holds all events; a burst
-    is one count for each different time.
+    is one count for each different time.  A count comes at its time and is taken off again a window
+    later, so a stretch is one running sum, however many times lie within a window.
     """
     width = seconds * 1_000_000
     at = events.select(F.col(ident), F.col(ts), F.unix_micros(F.col(ts).cast("timestamp")).alias("__at")).withColumn("__b", F.floor(F.col("__at") / width))
     counts = at.groupBy("__b", "__at").agg(F.count("*").alias("__n"))
-    both = counts.select("__b", "__at", "__n", F.lit(True).alias("__own")).unionByName(counts.select((F.col("__b") + 1).alias("__b"), "__at", "__n", F.lit(False).alias("__own")))
-    w = Window.partitionBy("__b").orderBy("__at").rangeBetween(-width, 0)
-    used = both.withColumn("used", F.sum("__n").over(w)).where("__own").select("__b", "__at", "used")
+    # of the stretch before, all counts stand from the start (__at null), and go when they leave the window
+    old = counts.withColumn("__b", F.col("__b") + 1)
+    carried = old.groupBy("__b").agg(F.sum("__n").alias("__n")).select("__b", F.lit(None).cast("long").alias("__at"), "__n")
+    leaving = old.select("__b", (F.col("__at") + width + 1).alias("__at"), (-F.col("__n")).alias("__n"))
+    steps = counts.select("*", F.lit(True).alias("__own")).unionByName(carried.unionByName(leaving).withColumn("__own", F.lit(False)))
+    w = Window.partitionBy("__b").orderBy(F.col("__at").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    used = steps.withColumn("used", F.sum("__n").over(w)).where("__own").select("__b", "__at", "used")
     return at.join(used, ["__b", "__at"]).select(ident, ts, "used", F.greatest(F.lit(capacity) - F.col("used"), F.lit(0)).alias("remaining"))

@@ -189,3 +189,19 @@ def test_positions_of_large_and_small_values(spark):
     assert got["m", "a"] == (0.00006, 300000000000000.1) and got["m", "b"] == (1.0, 1e17) and got["m", "c"] == (None, 2.0) and got["n", "a"] == (2.0, 1.0)
     many = spark.createDataFrame([("m", "a", 1, 0.1, 9e14)] * 20_000, "manager string, stock string, period int, shares double, value double")
     assert C.positions(many).first().value == 1.8e19 and C.positions(many).first().shares == 2000.0
+
+
+def test_rolling_budgets_are_running_sums(spark):
+    from datetime import datetime, timedelta
+
+    from tallyspark.streaming import requests as RQ
+
+    start = datetime(2024, 1, 1)
+    micros = [0, 0, 1, 9_999_999, 10_000_000, 10_000_001, 19_999_999, 19_999_999, 20_000_000, 20_000_001, 29_999_998, 40_000_000, 50_000_000, 50_000_001]
+    rows = [(i, start + timedelta(microseconds=m)) for i, m in enumerate(micros)]
+    out = RQ.rolling_budget(spark.createDataFrame(rows, "i long, ts timestamp"), "ts", "i", 3, 10)
+    # no frame that is added up anew for every time in it
+    assert "RangeFrame, -" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {i: sum(m - 10_000_000 <= x <= m for x in micros) for i, m in enumerate(micros)}
+    assert {r.i: r.used for r in out.collect()} == want
+    assert all(r.remaining == max(3 - r.used, 0) for r in out.collect())
