@@ -155,7 +155,7 @@ def shaped(leaf: DataFrame, paths: Iterable[str]) -> DataFrame:
     masks = sorted({(n, m) for n, m, _ in shapes(paths)})
     table = spark.createDataFrame(masks, "n_steps int, mask string")
     rows = leaf.withColumn("steps", F.regexp_extract_all("path", F.lit(STEP), F.lit(0))).withColumn("n_steps", F.size("steps"))
-    rows = rows.join(table, "n_steps").drop("n_steps")  # a row a mask: Spark broadcasts it by its size
+    rows = rows.join(F.broadcast(table), "n_steps").drop("n_steps")  # a row a mask; a shuffle would deal all leaves to a few keys
     kinds = F.split("mask", "")
     item = lambda s: s.rlike(r"^\[\d+\]$")
     general = F.zip_with("steps", kinds, lambda s, k: F.when(k == "L", s).when((k == "K") & ~item(s), "*").when((k == "I") & item(s), "[]"))
@@ -174,7 +174,7 @@ def mapped(leaf: DataFrame, spec: list[dict], ident: str) -> DataFrame:
 
     rows = [(mask, shape, m["metric_key"], m["unit"], bool(m.get("null_as_zero"))) for m, (_, mask, shape) in zip(spec, shapes(m["path"] for m in spec))]
     table = leaf.sparkSession.createDataFrame(rows, "mask string, shape string, metric_key string, unit string, null_as_zero boolean")
-    hit = shaped(leaf, [m["path"] for m in spec]).join(table, ["mask", "shape"])
+    hit = shaped(leaf, [m["path"] for m in spec]).join(F.broadcast(table), ["mask", "shape"])  # the spec: leaves have few shapes, so they aren't dealt by them
     raw = F.col("value").try_cast("double")
     number = F.when(F.col("null_as_zero"), F.coalesce(raw, F.lit(0.0))).otherwise(raw)
     return hit.select(ident, "path", "metric_key", F.get("caught", F.lit(0)).alias("context"), N.unit_value(number, F.col("unit")).alias("value"), N.base_unit(F.col("unit")).alias("unit"))
@@ -183,7 +183,7 @@ def mapped(leaf: DataFrame, spec: list[dict], ident: str) -> DataFrame:
 def unmapped(leaf: DataFrame, spec: list[dict]) -> DataFrame:
     """path, n: leaf paths no mapping takes, with list places and years as wildcards."""
     table = leaf.sparkSession.createDataFrame([(m, s) for _, m, s in shapes(m["path"] for m in spec)], "mask string, shape string")
-    taken = shaped(leaf, [m["path"] for m in spec]).join(table, ["mask", "shape"], "left_semi").select("path").distinct()
+    taken = shaped(leaf, [m["path"] for m in spec]).join(F.broadcast(table), ["mask", "shape"], "left_semi").select("path").distinct()
     general = F.regexp_replace(F.regexp_replace("path", r"\[\d+\]", "[]"), r"(^|\.)(19|20)\d\d(?=\.|$)", "$1*")
     return leaf.join(taken, "path", "left_anti").groupBy(general.alias("path")).agg(F.count("*").alias("n"))
 

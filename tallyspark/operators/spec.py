@@ -218,7 +218,7 @@ def facts(df: DataFrame, ident: str, column: str, spec: Spec) -> DataFrame:
     item = lambda s: s.rlike(r"^\[\d+\]$")
     at = at.withColumn("__g", F.zip_with(node, kinds, lambda s, k: F.when(k == "L", s).when((k == "K") & ~item(s), "*").when((k == "I") & item(s), "[]")))
     at = at.where(~F.exists("__g", lambda x: x.isNull())).withColumn("shape", F.array_join("__g", _GAP))
-    hit = at.join(table, ["mask", "shape"])
+    hit = at.join(F.broadcast(table), ["mask", "shape"])  # the spec: leaves have few shapes, so they aren't dealt by them
     caught = F.arrays_zip(node.alias("s"), kinds.alias("k"), F.slice("ends", 1, F.col("n")).alias("e"))
     last = lambda keep, field: F.try_element_at(F.transform(F.filter(caught, keep), lambda x: x[field]), F.lit(-1))
     rest = F.array_join(F.slice("steps", F.col("n") + 1, F.size("steps")), _GAP)
@@ -237,7 +237,7 @@ def facts(df: DataFrame, ident: str, column: str, spec: Spec) -> DataFrame:
     # what the document's root says, for the paths that mappings name
     if rooted:
         named = spark.createDataFrame([(_GAP.join(steps(p)),) for p in sorted(rooted)], "at string")
-        roots = leaf.select(ident, F.array_join("steps", _GAP).alias("at"), "value").join(named, "at")
+        roots = leaf.select(ident, F.array_join("steps", _GAP).alias("at"), "value").join(F.broadcast(named), "at")
         roots = roots.groupBy(ident).agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("root"))  # at most a value a named path
         nodes = nodes.join(roots, ident, "left")
     else:
