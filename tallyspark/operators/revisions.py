@@ -173,6 +173,8 @@ def cleaned_documents(tables: dict[str, DataFrame], derive: Callable[[DataFrame]
     docs, facts = tables["documents"], tables["facts"]
     plan = cut(duplicate_documents(docs))
     to = plan.select("document", "kept")
+    if apply:
+        facts = cut(facts)  # they are read for what moves, what is lost and what stays; made once
     concerned = facts.join(to, "document")
     moving = concerned.where("source_type != 'parsed'")
     place = ["stock", "metric_key", "period_type", "period_end"]
