@@ -10,7 +10,8 @@ over half of the words stand in repeated three-word windows, are rejected.
 
 All of it is DataFrame functions.  What a task receives is the ratio of every bucket, a
 fixed number of doubles at every size (``BUCKETS``).  The trusted set is every labelled
-id, joined as Spark chooses; corpus counts cover all texts.  Counting is a partial aggregate, so that a hot source or a frequent
+id, one bit each in words of 64 neighbouring ids; up to ``WORDS_SENT`` words go to the texts, so
+that no text is shuffled, and more are joined as Spark chooses.  Corpus counts cover all texts.  Counting is a partial aggregate, so that a hot source or a frequent
 n-gram costs one row a task; scoring needs no shuffle.
 
 A null or empty text has no words and is rejected by the base rule; with no trusted
@@ -30,6 +31,8 @@ BUCKETS = 1 << 14
 THRESHOLD = -0.2
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: the most words of trusted ids that are broadcast
+WORDS_SENT = 1 << 20
 TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+"
 WHITE = "[\\x20\\x09-\\x0D]+"
 
@@ -106,10 +109,24 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True))
 
 
+def marked(docs: DataFrame, labels: DataFrame, words_sent: int = WORDS_SENT) -> DataFrame:
+    """trusted (true or null) and text of every row of docs."""
+    ids, docs = trusted_ids(labels), docs.select("doc_id", "text")
+    whole = ("tinyint", "smallint", "int", "bigint")
+    if dict(docs.dtypes)["doc_id"] not in whole or dict(ids.dtypes)["doc_id"] not in whole:
+        return docs.join(ids, "doc_id", "left").select("trusted", "text")
+    word = lambda c: F.shiftright(F.col(c).cast("long"), 6)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(c).cast("long"), F.lit(64)).cast("int"))
+    masks = ids.groupBy(word("doc_id").alias("word")).agg(F.bit_or(bit("doc_id")).alias("mask"))
+    if masks.limit(words_sent + 1).count() <= words_sent:
+        masks = F.broadcast(masks)
+    found = docs.withColumn("word", word("doc_id")).join(masks, "word", "left")
+    return found.select(F.when(F.col("mask").bitwiseAND(bit("doc_id")) != 0, F.lit(True)).alias("trusted"), "text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS) -> list[float]:
     """log p_trusted - log p_raw of every bucket, add-one smoothed."""
-    ids = trusted_ids(labels)
-    grams = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("trusted", F.explode(buckets(F.col("text"), n_buckets)).alias("bucket"))
+    grams = marked(docs, labels).select("trusted", F.explode(buckets(F.col("text"), n_buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("trusted")).collect()  # at most n_buckets rows
     import math
 

@@ -95,3 +95,22 @@ def test_every_trusted_label_counts(spark):
     n = 20_500
     labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
     assert quality.trusted_ids(labels).count() == n
+
+
+def test_trusted_marks_need_no_shuffle_of_texts(spark):
+    ids = [None, -(1 << 63), -65, -64, -1, 0, 1, 63, 64, 65, 1 << 40, (1 << 63) - 1]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids + [64]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - k % 2) for k, i in enumerate(ids)] + [(64, 1), (7, 1)], "doc_id long, quality int")
+    trusted = {i for k, i in enumerate(ids) if k % 2 == 0 and i is not None} | {64}
+    want = sorted((f"t{i}", True if i in trusted else None) for i in ids + [64])
+    for sent in (quality.WORDS_SENT, 2):
+        assert sorted((r.text, r.trusted) for r in quality.marked(docs, labels, sent).collect()) == want
+    texts = docs.withColumn("doc_id", docs.doc_id.cast("string"))
+    assert sorted((r.text, r.trusted) for r in quality.marked(texts, labels.withColumn("doc_id", labels.doc_id.cast("string"))).collect()) == want
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with labels too many for Spark's own choice
+    try:
+        plan = quality.marked(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
