@@ -13,6 +13,14 @@ an index entry and another entry that agree are compared by their character coun
 (each edit moves two at most), then verified with a banded bit-parallel automaton: t + 1 bit
 vectors of 2t + 1 bits, many pairs at once.
 
+A line goes by one earlier line, so a line needs no pair with each of a large group of near
+lines.  Entries carry the place of their line's first document (``Order``); where entries agree,
+a line meets its ``FEW`` earliest candidates.  Those that had more and have no near line among
+them are compared with all earlier lines of their keys, by exact place, inside tasks: a key's
+lines travel in slices of ``SLICE`` code points, two slices meet in a row, and what comes out is
+a line, not a pair.  So rows grow with lines; a key of very many lines that aren't near costs
+comparisons.
+
 Equal lines are joined by a 128-bit hash, pre-aggregated in each task, so that a line of a
 third of all texts is a few rows a task.  Entries and pairs are of distinct lines only.
 Lines' texts travel only for pairs.
@@ -28,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import bit_filter, written
@@ -36,12 +44,29 @@ from .textbatch import BASE, BASE_INV, batch_bytes, chunks, mix, powers, prefix_
 
 EDITS = 2
 MIN_CHARS = 40
-#: distinct lines for each block of their entries
-BLOCK_LINES = 1024
+#: distinct lines for each block of their entries, and the fewest blocks
+BLOCK_LINES, BLOCKS = 1 << 15, 256
+#: entries that a task gathers before it deals them to blocks
+HELD = 1 << 19
+#: candidates that a line meets as pairs, code points of a slice of a key's lines
+FEW, SLICE = 2, 1 << 18
 WIDE = 64
 #: pairs that one comparison step takes
 STEP = 1 << 20
-ENTRY = np.dtype([("key", "<u8"), ("line", "<i8"), ("bag", "<u8"), ("index", "u1")])
+ENTRY = np.dtype([("key", "<u8"), ("line", "<i8"), ("bag", "<u8"), ("rank", "<u4"), ("index", "u1")])
+
+
+class Order:
+    """Numbers of 4 bytes in the order of doc_ids from low to high (null first); far ones may be equal."""
+
+    def __init__(self, low: int | None, high: int | None) -> None:
+        self.low, self.high = low or 0, high or 0
+        self.shift = max(0, (self.high - self.low).bit_length() - 31)
+
+    def __call__(self, ids: pa.Array) -> np.ndarray:
+        x = np.clip(np.asarray(pa.compute.fill_null(ids, self.low), np.int64), self.low, self.high)
+        step = (x.view(np.uint64) - np.array(self.low, np.int64).view(np.uint64)) >> np.uint64(self.shift)
+        return np.where(np.asarray(pa.compute.is_null(ids)), 0, step + np.uint64(1)).astype(np.uint32)
 
 
 class Lines:
@@ -99,8 +124,9 @@ def segments(n: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(length, axis=1) - length, length
 
 
-def line_entries(texts: list[str], ids: np.ndarray, edits: int) -> np.ndarray:
+def line_entries(texts: list[str], ids: np.ndarray, edits: int, rank: np.ndarray | None = None) -> np.ndarray:
     """Index entries and probes of distinct lines."""
+    rank = np.zeros(len(ids), np.uint32) if rank is None else rank
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
     first = np.concatenate([[0], np.cumsum(size)])[:-1]
@@ -118,7 +144,7 @@ def line_entries(texts: list[str], ids: np.ndarray, edits: int) -> np.ndarray:
         e = np.empty(len(which), ENTRY)
         label = of.astype(np.uint64) * np.uint64(64) + np.uint64(i)
         e["key"] = mix(mix((h[s + length] - h[s]) * back[s]) ^ (label * np.uint64(0x9E3779B97F4A7C15)))
-        e["line"], e["bag"], e["index"] = ids[which], bag[which], index
+        e["line"], e["bag"], e["rank"], e["index"] = ids[which], bag[which], rank[which], index
         out.append(e)
 
     for d in range(edits + 1):  # lines d shorter than this one
@@ -137,30 +163,50 @@ def line_entries(texts: list[str], ids: np.ndarray, edits: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def entry_blocks(docs: DataFrame, edits: int, min_chars: int, n_blocks: int) -> DataFrame:
-    """block, entries of the distinct lines of each stretch of texts."""
+def entry_blocks(docs: DataFrame, edits: int, min_chars: int, n_blocks: int, order: Order) -> DataFrame:
+    """block, entries of the distinct lines of each stretch of texts; docs: doc_id, text."""
+
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        e = np.concatenate(held)
+        block = (e["key"] % np.uint64(n_blocks)).astype(np.int32)
+        by = np.argsort(block, kind="stable")
+        e, block = e[by], block[by]
+        start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        end = np.append(start[1:], len(e))
+        return pa.record_batch([pa.array(block[start]), pa.array([e[p:q].tobytes() for p, q in zip(start, end)], pa.binary())], names=["block", "entries"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        seen, best = np.zeros(0, np.uint64), np.zeros(0, np.uint32)  # lines held, and their ranks
         for batch in batches:
             for b in chunks(batch, "text"):
-                x = Lines(b.column(0))
-                _, at = np.unique(x.h1, return_index=True)
+                x = Lines(b.column(1))
+                rank = order(b.column(0))[x.doc]
+                by = np.lexsort((rank, x.h1))
+                at = by[np.flatnonzero(np.append(True, x.h1[by][1:] != x.h1[by][:-1]))] if len(by) else by
                 at = at[x.end[at] - x.start[at] >= min_chars]
+                if len(seen):
+                    k = np.minimum(np.searchsorted(seen, x.h1[at]), len(seen) - 1)
+                    at = at[(seen[k] != x.h1[at]) | (best[k] > rank[at])]
                 raw = x.data.tobytes()
                 texts = [raw[s:e].decode() for s, e in zip(x.start[at].tolist(), x.end[at].tolist())]
                 keep = [len(t) >= min_chars for t in texts]
                 texts, at = [t for t, k in zip(texts, keep) if k], at[np.array(keep, bool)]
                 if not texts:
                     continue
-                e = line_entries(texts, x.h1[at].view(np.int64), edits)
-                block = (e["key"] % np.uint64(n_blocks)).astype(np.int64)
-                order = np.argsort(block, kind="stable")
-                e, block = e[order], block[order]
-                start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-                end = np.append(start[1:], len(e))
-                yield pa.record_batch([pa.array(block[start].astype(np.int32)), pa.array([e[p:q].tobytes() for p, q in zip(start, end)], pa.binary())], names=["block", "entries"])
+                held.append(line_entries(texts, x.h1[at].view(np.int64), edits, rank[at]))
+                n += len(held[-1])
+                ids, ranks = np.concatenate([seen, x.h1[at]]), np.concatenate([best, rank[at]])
+                by = np.lexsort((ranks, ids))
+                by = by[np.append(True, ids[by][1:] != ids[by][:-1])]
+                seen, best = ids[by], ranks[by]
+                if n >= HELD:
+                    yield dealt(held)
+                    held, n, seen, best = [], 0, seen[:0], best[:0]
+        if held:
+            yield dealt(held)
 
-    return docs.select("text").mapInArrow(task, "block int, entries binary")
+    return docs.select("doc_id", "text").mapInArrow(task, "block int, entries binary")
 
 
 def bags_near(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
@@ -171,41 +217,60 @@ def bags_near(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
     return total <= 2 * edits
 
 
-def meet(blocked: DataFrame, edits: int) -> DataFrame:
-    """a, b (a < b): distinct lines that share an entry and may be near."""
+def meet(blocked: DataFrame, edits: int, few: int = FEW) -> DataFrame:
+    """Pairs a, b of distinct lines that share an entry and may be near, a the earlier or of the
+    same rank, at most few for each b and key (key null); and all lines a of the keys where some
+    had more (key, bag, index), with b = 1 for these.
+    """
 
-    def checked(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        ok = ((e["index"][i] | e["index"][j]) == 1) & (e["line"][i] != e["line"][j])
+    def checked(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = (e["index"][i] | e["index"][j]) == 1
         i, j = i[ok], j[ok]
         ok = bags_near(e["bag"][i], e["bag"][j], edits)
-        a, b = e["line"][i[ok]], e["line"][j[ok]]
-        return np.stack([np.minimum(a, b), np.maximum(a, b)])
+        return i[ok], j[ok]
+
+    def earliest(e: np.ndarray, i: np.ndarray, j: np.ndarray, more: np.ndarray) -> np.ndarray:
+        by = np.lexsort((i, j))
+        i, j = i[by], j[by]
+        start = np.flatnonzero(np.append(True, j[1:] != j[:-1])) if len(j) else j
+        over = np.arange(len(j)) - np.repeat(start, np.diff(np.append(start, len(j)))) >= few
+        more[j[over]] = True
+        same = over & (e["rank"][i] == e["rank"][j])  # either may be the earlier
+        more[i[same]] = True
+        return np.stack([e["line"][i[~over]], e["line"][j[~over]]])
 
     def work(e: np.ndarray) -> pa.RecordBatch:
-        e = e[np.lexsort((e["index"], e["line"], e["key"]))]
-        last = np.append((e["key"][1:] != e["key"][:-1]) | (e["line"][1:] != e["line"][:-1]), True)
-        e = e[last]  # of a line's equal entries the index one
-        start = np.flatnonzero(np.append(True, e["key"][1:] != e["key"][:-1]))
+        e = e[np.lexsort((e["line"], e["key"]))]
+        first = np.flatnonzero(np.append(True, (e["key"][1:] != e["key"][:-1]) | (e["line"][1:] != e["line"][:-1])))
+        index, rank = np.maximum.reduceat(e["index"], first), np.minimum.reduceat(e["rank"], first)
+        e = e[first]  # of a line's equal entries one, an index one if any
+        e["index"], e["rank"] = index, rank
+        again = e["key"][1:] == e["key"][:-1]
+        e = e[np.append(again, False) | np.append(False, again)]
+        e = e[np.lexsort((e["rank"], e["key"]))]
+        start = np.flatnonzero(np.append(True, e["key"][1:] != e["key"][:-1])) if len(e) else np.zeros(0, np.int64)
         count = np.diff(np.append(start, len(e)))
-        found = [np.zeros((2, 0), np.int64)]
+        found, more = [np.zeros((2, 0), np.int64)], np.zeros(len(e), bool)
         for c in np.unique(count):
-            if c < 2:
-                continue
             s = start[count == c]
             if c <= WIDE:
-                i, j = np.triu_indices(c, 1)
+                j, i = np.tril_indices(c, -1)
                 for k in range(0, len(s), max(1, STEP // len(i))):
                     part = s[k : k + max(1, STEP // len(i)), None]
-                    found.append(checked(e, (part + i).ravel(), (part + j).ravel()))
+                    found.append(earliest(e, *checked(e, (part + i).ravel(), (part + j).ravel()), more))
             else:
                 rows = max(1, STEP // c)
                 for g in s.tolist():
                     for k in range(0, c, rows):
-                        i, j = np.meshgrid(np.arange(k, min(c, k + rows)), np.arange(c), indexing="ij")
+                        j, i = np.meshgrid(np.arange(k, min(c, k + rows)), np.arange(min(c, k + rows)), indexing="ij")
                         ok = j > i
-                        found.append(checked(e, g + i[ok], g + j[ok]))
+                        found.append(earliest(e, *checked(e, g + i[ok], g + j[ok]), more))
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+        left = np.repeat(np.logical_or.reduceat(more, start), count) if len(e) else more
+        e, more = e[left], more[left]
+        none = pa.nulls(len(a), pa.int64())
+        columns = [(pa.array(a), pa.array(e["line"])), (pa.array(b), pa.array(more.astype(np.int64))), (none, pa.array(e["key"].view(np.int64))), (none, pa.array(e["bag"].view(np.int64))), (none, pa.array(e["index"].astype(np.int64)))]
+        return pa.record_batch([pa.concat_arrays(c) for c in columns], names=["a", "b", "key", "bag", "index"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -219,7 +284,7 @@ def meet(blocked: DataFrame, edits: int) -> DataFrame:
         if held:
             yield work(np.concatenate(held))
 
-    return blocked.repartition("block").sortWithinPartitions("block").mapInArrow(task, "a long, b long").distinct()
+    return blocked.repartition("block").sortWithinPartitions("block").mapInArrow(task, "a long, b long, key long, bag long, index long")
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -303,19 +368,62 @@ def near_pairs(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(task, "a long, b long")
 
 
+def near_in_keys(members: DataFrame, places: DataFrame, texts: DataFrame, left: DataFrame, edits: int, size: int = SLICE) -> DataFrame:
+    """line: those left that have an earlier line within ``edits`` edits among those of their keys."""
+    order = Window.partitionBy("key").orderBy("first", "line")
+    slice_no = F.floor((F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("text")) / size)
+    own = members.join(places, "line").join(texts, "line").join(left.withColumn("asks", F.lit(True)), "line", "left")
+    own = own.select("key", F.row_number().over(order).alias("at"), slice_no.alias("slice"), "line", "bag", "index", F.coalesce("asks", F.lit(False)).alias("asks"), "text")
+    slices = written(own.groupBy("key", "slice").agg(F.array_sort(F.collect_list(F.struct("at", "line", "bag", "index", "asks", "text"))).alias("lines")))
+    late = slices.where(F.exists("lines", lambda x: x["asks"])).select("key", F.col("slice").alias("late"), F.filter("lines", lambda x: x["asks"]).alias("x"))
+    both = late.join(slices.select("key", "slice", F.col("lines").alias("y")), "key").where("slice <= late").select("x", "y")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x, y = (batch.column(k)[r].values for k in (0, 1))
+                at, line, bag, index = ([c.field(n).to_numpy() for c in (x, y)] for n in ("at", "line", "bag", "index"))
+                text = [c.field("text").to_pylist() for c in (x, y)]
+                found = np.zeros(len(x), bool)
+                for k in range(0, len(y), WIDE):
+                    i, j = (z.ravel() for z in np.meshgrid(np.arange(k, min(k + WIDE, len(y))), np.flatnonzero(~found)))
+                    ok = (at[1][i] < at[0][j]) & ((index[1][i] | index[0][j]) == 1)
+                    i, j = i[ok], j[ok]
+                    ok = bags_near(bag[1][i].view(np.uint64), bag[0][j].view(np.uint64), edits)
+                    i, j = i[ok], j[ok]
+                    found[j[within([text[1][q] for q in i.tolist()], [text[0][q] for q in j.tolist()], edits)]] = True
+                if found.any():
+                    yield pa.record_batch([pa.array(line[0][found])], names=["line"])
+
+    return both.mapInArrow(task, "line long").distinct()
+
+
 def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, cls, cut (numbers of the removed lines), n_near of documents that lose lines."""
     keyed = docs.select("doc_id", F.xxhash64("text", F.octet_length("text")).alias("cls"), "text").where("text is not null")
     found = written(occurrences(keyed))
     first = F.min(F.struct("doc_id", "cls", "line")).alias("first")
     lines = written(found.groupBy("h1", "h2").agg(first))
-    n_blocks = max(64, lines.count() // BLOCK_LINES)
-    pairs = written(meet(entry_blocks(keyed, edits, min_chars, n_blocks), edits))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    near = near_pairs(pairs, line_texts(keyed, wanted), edits)
+    n_lines, low, high = lines.agg(F.count("*"), F.min("first.doc_id"), F.max("first.doc_id")).first()
+    n_blocks = max(BLOCKS, n_lines // BLOCK_LINES)
+    met = written(meet(entry_blocks(keyed, edits, min_chars, n_blocks, Order(low, high)), edits))
     places = lines.groupBy(F.col("h1").alias("line")).agg(F.min("first").alias("first"))
-    near = near.join(places.select(F.col("line").alias("a"), F.col("first").alias("fa")), "a").join(places.select(F.col("line").alias("b"), F.col("first").alias("fb")), "b")
-    later = near.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("h1")).distinct().withColumn("near", F.lit(True))
+
+    def later_of(pairs: DataFrame) -> DataFrame:
+        """line: the later one of each near pair."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
+        near = near_pairs(pairs, line_texts(keyed, wanted), edits)
+        near = near.join(places.select(F.col("line").alias("a"), F.col("first").alias("fa")), "a").join(places.select(F.col("line").alias("b"), F.col("first").alias("fb")), "b")
+        return near.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("line")).distinct()
+
+    later = written(later_of(met.where("key is null").select("a", "b").distinct()))
+    members = met.where("key is not null").select("key", F.col("a").alias("line"), "bag", "index")
+    left = written(met.where("key is not null and b = 1").select(F.col("a").alias("line")).distinct().join(later, "line", "left_anti"))
+    if not left.isEmpty():
+        members = written(members.join(members.join(left, "line").select("key").distinct(), "key", "left_semi"))
+        texts = line_texts(keyed, members.select("line").distinct())
+        later = later.union(near_in_keys(members, places, texts, left, edits))
+    later = later.select(F.col("line").alias("h1")).distinct().withColumn("near", F.lit(True))
     marked = lines.join(later, "h1", "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = found.join(marked, ["h1", "h2"]).withColumn("is_first", F.struct("doc_id", "cls", "line").eqNullSafe(F.col("first"))).where("near or not is_first")
     return gone.groupBy("doc_id", "cls").agg(F.array_distinct(F.collect_list("line")).alias("cut"), F.count_distinct(F.when(F.col("is_first"), F.col("line"))).alias("n_near"))

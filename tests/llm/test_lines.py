@@ -129,3 +129,55 @@ def test_documents_and_empty(spark):
     for r, (d, t) in zip(sorted(got.collect(), key=lambda r: r.doc_id), sorted(rows)):
         assert r.text == want[(d, t)]
     assert m.dedup(docs.limit(0)).count() == 0
+
+
+def test_large_groups_of_near_lines_give_few_pairs(spark):
+    rng = random.Random(7)
+    base = "".join(rng.choice("abcdefgh") for _ in range(60))
+    rows = [(900 - i, base[:30] + "%03d" % i + base[33:]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    met = m.meet(m.entry_blocks(docs, 2, 40, 4, m.Order(601, 900)), 2).where("key is null").select("a", "b").distinct()
+    assert met.count() <= 5 * m.FEW * len(rows)
+    got = {r.doc_id: r.text for r in m.dedup(docs).collect()}
+    want = brute(rows, 2, 40)
+    assert got == {d: want[(d, t)] for d, t in rows}
+
+
+def test_lines_meet_all_candidates_until_one_is_near(spark, monkeypatch):
+    """Orders of the same letters agree in counts and in a segment without being near."""
+    rng = random.Random(8)
+    tail = "".join(rng.choice("abcdefgh") for _ in range(40))
+    monkeypatch.setattr(m.near_in_keys, "__defaults__", (1000,))  # several slices a key
+    for apart in (False, True):
+        heads = ["".join(rng.sample("ijklmnopqrstuvwxyz" * 2, 36)) for _ in range(60)]
+        rows = [((1 << 40) * i * apart, h + tail) for i, h in enumerate(heads)]
+        rows += [((1 << 40) * 70 * apart, h + "z" + tail[1:]) for h in heads[20:40]] + [(None, heads[50] + tail + "x")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = sorted(((r.doc_id if r.doc_id is not None else -1 << 63), r.o, r.text) for r in m.dedup(docs.withColumn("o", docs["text"])).collect())
+        order = [(d, t) for d, t in rows]
+        seen, want = [], {}
+        key = {(r.doc_id, r.text): r.cls for r in docs.selectExpr("doc_id", "text", "xxhash64(text, octet_length(text)) as cls").collect()}
+        for d, t in sorted(order, key=lambda x: (x[0] is not None, x[0] or 0, key[x])):
+            want[(d if d is not None else -1 << 63, t)] = "" if any(near(t, y, 2) for y in seen) else t
+            seen.append(t)
+        assert got == sorted((d, t, k) for (d, t), k in want.items())
+
+
+def test_rows_of_entries_grow_with_the_lines(spark):
+    rng = random.Random(9)
+    text = lambda: "\n".join("".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(40))
+    counts = []
+    for n in (300, 1500):
+        docs = spark.createDataFrame([(i, text()) for i in range(n)], "doc_id long, text string").coalesce(1)
+        blocks = max(m.BLOCKS, n * 40 // m.BLOCK_LINES)
+        counts.append(m.entry_blocks(docs, 2, 40, blocks, m.Order(0, n)).count())
+    assert counts[1] <= 7 * counts[0] and counts[0] <= 300 * 40
+
+
+def test_order_of_documents():
+    import pyarrow as pa
+
+    for ids in ([0, 1, 5], [-(1 << 63), -5, 0, 7, (1 << 63) - 1], [3]):
+        got = m.Order(ids[0], ids[-1])(pa.array([None, *ids], pa.int64())).tolist()
+        assert got == sorted(got) and got[0] == 0 < got[1]
+    assert m.Order(None, None)(pa.array([None], pa.int64())).tolist() == [0]
