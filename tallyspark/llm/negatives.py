@@ -162,11 +162,15 @@ def blocks(queries: DataFrame, size: int = BLOCK, positives: bool = False) -> Da
 
 
 def _pairs(tree_rows: DataFrame, block_rows: DataFrame, slots: int, same: bool) -> DataFrame:
-    """tree, block: each tree with each block it can answer; a block goes once to each slot of trees."""
+    """tree, block: each tree with each block it can answer; a block goes once to each slot of trees.
+
+    Trees of repeated vectors are many times larger than the file they are in, which is what Spark
+    would judge by, so neither side may go through the driver.
+    """
     t = tree_rows.select("dims", F.col("low").alias("t_low"), F.col("high").alias("t_high"), "tree", F.pmod(F.xxhash64("tree"), F.lit(slots)).cast("int").alias("slot"))
     b = block_rows.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     meet = (F.col("t_low") <= F.col("high")) & (F.col("t_high") >= F.col("low")) if same else ~((F.col("t_low") == F.col("t_high")) & (F.col("low") == F.col("high")) & (F.col("t_low") == F.col("low")))
-    return t.join(b, ["slot", "dims"]).where(meet).select("tree", "block")
+    return t.hint("merge").join(b, ["slot", "dims"]).where(meet).select("tree", "block")
 
 
 def _products(a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -283,8 +287,8 @@ def mine(rows: DataFrame, anchors: Column, label: Column | None = None, n_positi
     positives = written(nearest(forest, asked, n_positives, slots))
     # at most n_positives scores stand in a list
     scores = positives.groupBy(F.col("anchor").alias("row")).agg(F.array_sort(F.collect_set("score")).alias("scores"))
-    negatives = in_window(forest, asked.join(scores, "row"), n_negatives, window, slots)
+    negatives = in_window(forest, asked.hint("merge").join(scores, "row"), n_negatives, window, slots)
     ids = asked.select(F.col("row").alias("anchor"), F.col("vec_id").alias("anchor_id"))
     pairs = positives.select("anchor", F.col("row").alias("positive"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
-    out = negatives.select("anchor", "positive_score", "negative_id", F.col("score").alias("negative_score"), "rank").join(pairs, ["anchor", "positive_score"]).join(ids, "anchor")
+    out = negatives.select("anchor", "positive_score", "negative_id", F.col("score").alias("negative_score"), "rank").join(pairs.hint("merge"), ["anchor", "positive_score"]).join(ids.hint("merge"), "anchor")
     return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

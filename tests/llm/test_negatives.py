@@ -80,3 +80,20 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "embeddings.parquet"))
     got = op11_hard_negatives(spark, str(tmp_path))
     assert dict(got.dtypes)["rank"] == "int" and sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_nothing_grows_on_the_driver(spark, monkeypatch):
+    """Trees of copies are small as files and large in memory."""
+    seen, kept = [], negatives.written
+
+    def watched(df, *args):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, *args)
+
+    monkeypatch.setattr(negatives, "written", watched)
+    rows = spark.range(400).selectExpr("id as vec_id", "array(id % 5 / 8D, 0.5D, -0.25D) as embedding", "cast(id % 3 as int) as label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    out = negatives.mine(rows, F.col("vec_id") % 50 == 0, label)
+    seen.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(seen) == 4 and not any("Broadcast" in plan for plan in seen)
+    assert sorted(map(tuple, out.collect())) == brute([(r.vec_id, r.embedding, r.label) for r in rows.collect()])
