@@ -219,22 +219,23 @@ def merged_entities(entities: DataFrame, ident: str, identities: Sequence[Sequen
     and so are chains of such rows.  The least id survives.  Columns in ``filled`` that it has null
     take the first non-null value of the others in order of id; the others become inactive.
     references: name -> (table, column): the column points to survivors; no other column changes.
+    Survivors are as many as there are copies, so no join sends them through the driver.
     """
     alive = entities.where(active)
     edges = None
     for cols in identities:
         there = alive.dropna(subset=list(cols))
-        first = there.join(there.groupBy(*cols).agg(F.min(ident).alias("b")), list(cols)).select(F.col(ident).alias("a"), "b")
+        first = there.hint("merge").join(there.groupBy(*cols).agg(F.min(ident).alias("b")), list(cols)).select(F.col(ident).alias("a"), "b")
         edges = first if edges is None else edges.unionByName(first)
     to = survivors(edges).select(F.col("node").alias(ident), "survivor")
     gone = to.where(F.col(ident) != F.col("survivor"))
     values = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(ident))).alias(f"__{c}") for c in filled]
-    spare = entities.join(gone, ident).groupBy(F.col("survivor").alias(ident)).agg(F.count("*").alias("__n"), *values)
-    rows = entities.join(gone.withColumnRenamed("survivor", "__to"), ident, "left").join(spare, ident, "left")
+    spare = entities.hint("merge").join(gone, ident).groupBy(F.col("survivor").alias(ident)).agg(F.count("*").alias("__n"), *values)
+    rows = entities.join(gone.withColumnRenamed("survivor", "__to").hint("merge"), ident, "left").join(spare.hint("merge"), ident, "left")
     rows = rows.withColumns({**{c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in filled}, active: F.col(active) & F.col("__to").isNull()})
     out = {"survivors": gone, "entities": rows.select(*entities.columns)}
     for name, (table, column) in references.items():
-        new = table.join(gone.select(F.col(ident).alias(column), F.col("survivor").alias("__to")), column, "left")
+        new = table.join(gone.select(F.col(ident).alias(column), F.col("survivor").alias("__to")).hint("merge"), column, "left")
         out[name] = new.withColumn(column, F.coalesce("__to", column)).select(*table.columns)
     return out
 

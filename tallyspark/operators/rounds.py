@@ -26,19 +26,20 @@ def survivors(edges: DataFrame, most: int = 100) -> DataFrame:
     """node, survivor: the least node that each node of edges (a, b) reaches; nodes without edges aren't in it.
 
     Each round a node takes the least survivor among its neighbours', then that one's own, so rounds
-    grow with the logarithm of the longest chain.
+    grow with the logarithm of the longest chain.  Its joins are merges: no round sends nodes through
+    the driver.
     """
     both = edges.select("a", "b").where("a != b")
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     now = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("survivor")))
     for _ in range(most):
-        heard = both.join(now.select(F.col("node").alias("b"), "survivor"), "b").groupBy(F.col("a").alias("node")).agg(F.min("survivor").alias("heard"))
-        low = now.join(heard, "node").select("node", F.col("survivor").alias("was"), F.least("survivor", "heard").alias("low"))
+        heard = both.hint("merge").join(now.select(F.col("node").alias("b"), "survivor"), "b").groupBy(F.col("a").alias("node")).agg(F.min("survivor").alias("heard"))
+        low = now.hint("merge").join(heard, "node").select("node", F.col("survivor").alias("was"), F.least("survivor", "heard").alias("low"))
         # a survivor also hears of what its own nodes have found
         told = low.groupBy(F.col("was").alias("node")).agg(F.min("low").alias("told"))
-        low = low.join(told, "node", "left").select("node", "was", F.least("low", F.coalesce("told", "low")).alias("low"))
+        low = low.join(told.hint("merge"), "node", "left").select("node", "was", F.least("low", F.coalesce("told", "low")).alias("low"))
         onward = low.select(F.col("node").alias("low"), F.col("low").alias("next"))
-        new = cut(low.join(onward, "low", "left").select("node", "was", F.coalesce("next", "low").alias("survivor")))
+        new = cut(low.join(onward.hint("merge"), "low", "left").select("node", "was", F.coalesce("next", "low").alias("survivor")))
         now = new.select("node", "survivor")
         if new.where("survivor != was").isEmpty():
             return now

@@ -174,7 +174,7 @@ s as (select a as id, min(b) as survivor from w group by a having min(b) <> a)""
 def g14_merged_stocks(spark, sf):
     parts = _parts(spark, sf)
     out = RV.merged_entities(parts, "id", [["ticker", "market"], ["listing"]], ["exchange"], {})
-    return out["entities"].join(out["survivors"], "id", "left").select("id", "exchange", "is_active", "survivor")
+    return out["entities"].join(out["survivors"].hint("merge"), "id", "left").select("id", "exchange", "is_active", "survivor")
 
 
 @query(f"""{_MERGE} select coalesce(survivor, l_partkey) as stock, count(*) as n from lineitem left join s on s.id = l_partkey group by all""")

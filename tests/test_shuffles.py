@@ -1,6 +1,8 @@
 """Joins with a spec don't deal the rows by the few keys it has."""
 
 from tallyspark.operators import documents as DOC
+from tallyspark.operators import revisions as RV
+from tallyspark.operators import rounds as RO
 from tallyspark.operators import spec as SP
 from tallyspark.plans import reports as R
 
@@ -22,3 +24,15 @@ def test_facts_are_not_shuffled_by_shape(spark):
     docs = spark.createDataFrame([(1, '{"header": {"rating": "A"}, "report_date": "2002-01-15"}')], "i long, j string")
     text = plan(SP.facts(docs, "i", "j", SP.compiled(R.SPEC, R.TAXONOMY)))
     assert "hashpartitioning(mask" not in text and "hashpartitioning(at" not in text
+
+
+def test_merges_keep_off_the_driver(spark, monkeypatch):
+    seen, kept = [], RO.cut
+    monkeypatch.setattr(RO, "cut", lambda df: (seen.append(plan(df)), kept(df))[1])
+    rows = spark.createDataFrame([(1, "a", "x", None, True), (2, "a", "y", "N", True), (3, "b", "y", None, True), (4, "c", "z", None, True)], "id long, t string, l string, e string, is_active boolean")
+    refs = spark.createDataFrame([(3, 1.0), (4, 2.0)], "ref long, n double")
+    out = RV.merged_entities(rows, "id", [["t"], ["l"]], ["e"], {"refs": (refs, "ref")})
+    seen += [plan(out["entities"]), plan(out["refs"])]
+    assert len(seen) > 4 and not any("Broadcast" in p for p in seen)
+    assert sorted((r.id, r.e, r.is_active) for r in out["entities"].collect()) == [(1, "N", True), (2, "N", False), (3, None, False), (4, None, True)]
+    assert sorted((r.ref, r.n) for r in out["refs"].collect()) == [(1, 1.0), (4, 2.0)]
