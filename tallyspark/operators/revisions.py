@@ -254,6 +254,7 @@ def actual_conflicts(rows: DataFrame, slot: Sequence[str], value: str, day: str,
     many = many.where(~F.col("__low").eqNullSafe(F.col("__high")) | (F.col("__null") & F.col("__low").isNotNull())).select(*slot)
     w = Window.partitionBy(*slot).orderBy(F.col(day).desc_nulls_last(), F.col(document).desc_nulls_last(), F.desc_nulls_last(v))
     two = rows.withColumn("__rn", F.row_number().over(w)).where("__rn <= 2")
-    at = lambda n, c: F.max(F.when(F.col("__rn") == n, F.col(c)))
-    picked = [at(n, c).alias(f"{name}_{k}") for n, name in ((1, "current"), (2, "previous")) for c, k in ((value, "value"), (document, "document"), (day, "day"))]
-    return two.groupBy(*slot).agg(*picked).join(many, list(slot))
+    columns = ((value, "value"), (document, "document"), (day, "day"))
+    # in the order that the rows are sorted in already: no slot's row is held in memory
+    both = two.select(*slot, "__rn", *[F.col(c).alias(f"current_{k}") for c, k in columns], *[F.lead(c).over(w).alias(f"previous_{k}") for c, k in columns])
+    return both.where("__rn = 1").drop("__rn").join(many, list(slot))

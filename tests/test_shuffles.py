@@ -36,3 +36,11 @@ def test_merges_keep_off_the_driver(spark, monkeypatch):
     assert len(seen) > 4 and not any("Broadcast" in p for p in seen)
     assert sorted((r.id, r.e, r.is_active) for r in out["entities"].collect()) == [(1, "N", True), (2, "N", False), (3, None, False), (4, None, True)]
     assert sorted((r.ref, r.n) for r in out["refs"].collect()) == [(1, 1.0), (4, 2.0)]
+
+
+def test_conflicts_hold_no_slot_in_memory(spark):
+    """Only the count of values is aggregated by hash, in its two steps."""
+    rows = spark.createDataFrame([(1, 5.0, "2020-01-02", 1), (1, 6.0, "2020-01-01", 2), (2, 5.0, "2020-01-01", 3), (2, 5.0, None, 4), (3, None, None, 5), (3, 1.0, None, 6), (3, 2.0, None, 7)], "s long, v double, d string, doc long")
+    out = RV.actual_conflicts(rows, ["s"], "v", "d", "doc")
+    assert plan(out).count("Aggregate") == 2
+    assert sorted(map(tuple, out.collect())) == [(1, 5.0, 1, "2020-01-02", 6.0, 2, "2020-01-01"), (3, 2.0, 7, None, 1.0, 6, None)]
