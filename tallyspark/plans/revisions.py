@@ -94,14 +94,17 @@ def _docs(spark, sf):
 
 
 def _log(spark, sf):
-    # some lines have the same key: one fact each
-    lines = A.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_quantity", "l_returnflag", "l_linestatus")])
+    # some lines have the same key: one fact each.  Greatest letters are found by flags, since Spark sorts to aggregate strings
+    def is_top(c, letter):
+        return F.bool_or(F.col(c) == letter) & ~F.bool_or(F.col(c) > letter)
+
+    lines = A.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), is_top("l_returnflag", "R").alias("manual"), is_top("l_linestatus", "F").alias("closed"))
     lines = lines.join(_docs(spark, sf), F.col("document") == F.col("l_orderkey"))
-    manual = F.col("l_returnflag") == "R"
+    manual = F.col("manual")
     return lines.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact"), "user", "stock", F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("metric_key"), F.lit("FY").alias("period_type"),
         F.make_date(F.year("report_date"), F.lit(12), F.lit(31)).alias("period_end"), F.lit(None).cast("date").alias("as_of"), F.col("l_quantity").alias("value"),
-        F.when(manual, "manual").otherwise("parsed").alias("source_type"), "document", (manual & (F.col("l_linestatus") == "F")).alias("is_current"),
+        F.when(manual, "manual").otherwise("parsed").alias("source_type"), "document", (manual & F.col("closed")).alias("is_current"),
     )
 
 

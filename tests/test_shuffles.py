@@ -1,10 +1,13 @@
 """Joins with a spec don't deal the rows by the few keys it has."""
 
+from pyspark.sql import functions as F
+
 from tallyspark.operators import documents as DOC
 from tallyspark.operators import revisions as RV
 from tallyspark.operators import rounds as RO
 from tallyspark.operators import spec as SP
 from tallyspark.plans import reports as R
+from tallyspark.plans import revisions as RP
 
 
 def plan(df):
@@ -44,3 +47,22 @@ def test_conflicts_hold_no_slot_in_memory(spark):
     out = RV.actual_conflicts(rows, ["s"], "v", "d", "doc")
     assert plan(out).count("Aggregate") == 2
     assert sorted(map(tuple, out.collect())) == [(1, 5.0, 1, "2020-01-02", 6.0, 2, "2020-01-01"), (3, 2.0, 7, None, 1.0, 6, None)]
+
+
+def test_log_is_not_sorted_to_find_letters(spark):
+    """Greatest letters of a fact's lines, among them missing ones and letters beyond those asked for."""
+    sf = "/root/testdata/sf0.001"
+    log = RP._log(spark, sf)
+    assert "SortAggregate" not in plan(log)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("r"), F.max("l_linestatus").alias("s"))
+    want = lines.selectExpr("l_orderkey * 10 + l_linenumber", "if(r = 'R', 'manual', 'parsed')", "r = 'R' and s = 'F'").exceptAll(log.select("fact", "source_type", "is_current"))
+    assert log.count() == lines.count() and want.isEmpty()
+
+
+def test_log_with_odd_letters(spark, tmp_path):
+    rows = [(1, 1, "R", "F"), (1, 1, "A", "F"), (2, 1, "R", "F"), (2, 1, "Z", "F"), (3, 1, None, "F"), (3, 1, "R", None), (4, 1, None, None), (5, 1, "R", "O"), (5, 1, "R", "F")]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string").withColumn("l_quantity", F.lit(2.0)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.range(1, 6).selectExpr("id as o_orderkey", "id as o_custkey", "'F' as o_orderstatus", "timestamp'1995-01-02 00:00:00' as o_orderdate")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted((r.document, r.source_type, r.is_current) for r in RP._log(spark, str(tmp_path)).collect())
+    assert got == [(1, "manual", True), (2, "parsed", False), (3, "manual", True), (4, "parsed", None), (5, "manual", False)]
