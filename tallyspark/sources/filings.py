@@ -31,7 +31,7 @@ def holdings_xml(docs: DataFrame, ident: str, xml: str) -> DataFrame:
     """
     from tallyspark.functions.text import digits_only, fingerprint
 
-    rows = docs.select(ident, F.explode(F.from_xml(xml, _HOLDING, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})["infoTable"]).alias("h"))
+    rows = docs.select(ident, F.explode(F.from_xml(xml, _HOLDING, {"ignoreNamespace": "true", "excludeAttribute": "true", "mode": "PERMISSIVE"})["infoTable"]).alias("h"))
     tag = lambda *names: F.coalesce(*[F.nullif(F.trim(f"h.{n}"), F.lit("")) for n in names])
     vote = lambda n: digits_only(tag(f"votingAuthority.{n}"))
     out = rows.select(

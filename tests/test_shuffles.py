@@ -8,6 +8,7 @@ from tallyspark.operators import rounds as RO
 from tallyspark.operators import spec as SP
 from tallyspark.plans import reports as R
 from tallyspark.plans import revisions as RP
+from tallyspark.sources import filings as SRC
 
 
 def plan(df):
@@ -66,3 +67,11 @@ def test_log_with_odd_letters(spark, tmp_path):
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     got = sorted((r.document, r.source_type, r.is_current) for r in RP._log(spark, str(tmp_path)).collect())
     assert got == [(1, "manual", True), (2, "parsed", False), (3, "manual", True), (4, "parsed", None), (5, "manual", False)]
+
+
+def test_attributes_of_holdings_are_not_read(spark):
+    """No field of a holding is an attribute; those that stand there, even with a field's name, change nothing."""
+    xml = '<a:t xmlns:a="u" a:z="1"><a:infoTable cusip="no"><a:cusip nil="true">c1</a:cusip><a:value k="2">5</a:value><a:votingAuthority Sole="8"><a:Sole>1</a:Sole></a:votingAuthority></a:infoTable><a:infoTable cusip="only"/></a:t>'
+    out = SRC.holdings_xml(spark.createDataFrame([(1, xml), (2, "<broken"), (3, None)], "i long, x string"), "i", "x")
+    assert "(excludeAttribute,true)" in plan(out)
+    assert [(r.i, r.cusip, r.value, r.voting_sole) for r in out.collect()] == [(1, "C1", 5, 1), (1, None, None, None)]
