@@ -505,6 +505,7 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
             finally:
                 gc.enable()
             yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array([1] * len(ids), pa.int32())], names=["doc_id", "text", "ids", "n_chunks"])
+        pa.default_memory_pool().release_unused()  # the worker stays with its executor
 
     out = "doc_id long, text string, ids array<int>, n_chunks int"
     small = docs.where(~is_giant).mapInArrow(whole, out)
@@ -547,6 +548,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
             flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
             texts = [m.decode(flat[i:j].tolist()) if valid else None for valid, i, j in zip(lists.is_valid().to_pylist(), at, at[1:])]
             yield pa.record_batch([*b.columns, pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "n_chunks", "decoded"])
+        pa.default_memory_pool().release_unused()
 
     return encoded.select("doc_id", "text", "ids", "n_chunks").mapInArrow(task, "doc_id long, text string, ids array<int>, n_chunks int, decoded string")
 
