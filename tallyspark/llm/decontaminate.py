@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import Words, chunks, mix
+from .textbatch import Words, chunks, mix, thrifty
 
 MIN_MATCH = 5
 COVERAGE = 0.6
@@ -162,7 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, thr
                         out.append((ids[d], items.ids[n], hit[0], size, hit[1], hit[0] / size))
                 yield _leak_batch(out)
 
-    return docs.mapInArrow(task, LEAKS)
+    return docs.mapInArrow(thrifty(task), LEAKS)
 
 
 def _leak_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -190,7 +190,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, thr
                         keep[d] = False
                 yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(thrifty(task), docs.schema)
 
 
 def _seed_rows(texts: DataFrame, key: str, sizes: list[int] | None, min_match: int) -> DataFrame:
@@ -207,7 +207,7 @@ def _seed_rows(texts: DataFrame, key: str, sizes: list[int] | None, min_match: i
                         yield pa.record_batch([pa.array([keys[d].as_py()] * len(g), keys.type), pa.array(g.view(np.int64))], names=["key", "seed"])
 
     kind = dict(texts.dtypes)[key]
-    return texts.select(key, "text").mapInArrow(task, f"key {kind}, seed long")
+    return texts.select(key, "text").mapInArrow(thrifty(task), f"key {kind}, seed long")
 
 
 def _joined_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int, threshold: float, keep_key: bool = False) -> DataFrame:
@@ -232,7 +232,7 @@ def _joined_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int, thresho
                 if out:
                     yield pa.RecordBatch.from_pylist(out)
 
-    found = both.mapInArrow(task, "__key string, __item string, n_matched long, n_item_words long, n_tiles long, coverage double")
+    found = both.mapInArrow(thrifty(task), "__key string, __item string, n_matched long, n_item_words long, n_tiles long, coverage double")
     if keep_key:
         return found
     rows = found.join(items.select("__item", "item_id"), "__item").join(keyed.select("__key", "doc_id"), "__key")

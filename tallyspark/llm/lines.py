@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import bit_filter, written
-from .textbatch import BASE, BASE_INV, batch_bytes, chunks, mix, powers, prefix_hash, span_hash
+from .textbatch import BASE, BASE_INV, batch_bytes, chunks, mix, powers, prefix_hash, span_hash, thrifty
 
 EDITS = 2
 MIN_CHARS = 40
@@ -112,7 +112,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 at = pa.array(x.doc)
                 yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(x.number), pa.array(x.h1.view(np.int64)), pa.array(x.h2.view(np.int64))], names=["doc_id", "cls", "line", "h1", "h2"])
 
-    return docs.mapInArrow(task, KEYS)
+    return docs.mapInArrow(thrifty(task), KEYS)
 
 
 def segments(n: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +206,7 @@ def entry_blocks(docs: DataFrame, edits: int, min_chars: int, n_blocks: int, ord
         if held:
             yield dealt(held)
 
-    return docs.select("doc_id", "text").mapInArrow(task, "block int, entries binary")
+    return docs.select("doc_id", "text").mapInArrow(thrifty(task), "block int, entries binary")
 
 
 def bags_near(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
@@ -284,7 +284,7 @@ def meet(blocked: DataFrame, edits: int, few: int = FEW) -> DataFrame:
         if held:
             yield work(np.concatenate(held))
 
-    return blocked.repartition("block").sortWithinPartitions("block").mapInArrow(task, "a long, b long, key long, bag long, index long")
+    return blocked.repartition("block").sortWithinPartitions("block").mapInArrow(thrifty(task), "a long, b long, key long, bag long, index long")
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -301,7 +301,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 texts = [raw[x.start[at[k]] : x.end[at[k]]].decode() for k in hit]
                 yield pa.record_batch([pa.array(ids[hit]), pa.array(texts, pa.string())], names=["line", "text"])
 
-    return docs.select("text").mapInArrow(task, "line long, text string").dropDuplicates(["line"])
+    return docs.select("text").mapInArrow(thrifty(task), "line long, text string").dropDuplicates(["line"])
 
 
 def within(left: list[str], right: list[str], edits: int) -> np.ndarray:
@@ -365,7 +365,7 @@ def near_pairs(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
             ok = within(b.column(2).to_pylist(), b.column(3).to_pylist(), edits)
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.select("a", "b", "x", "y").mapInArrow(task, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(thrifty(task), "a long, b long")
 
 
 def near_in_keys(members: DataFrame, places: DataFrame, texts: DataFrame, left: DataFrame, edits: int, size: int = SLICE) -> DataFrame:
@@ -395,7 +395,7 @@ def near_in_keys(members: DataFrame, places: DataFrame, texts: DataFrame, left:
                 if found.any():
                     yield pa.record_batch([pa.array(line[0][found])], names=["line"])
 
-    return both.mapInArrow(task, "line long").distinct()
+    return both.mapInArrow(thrifty(task), "line long").distinct()
 
 
 def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

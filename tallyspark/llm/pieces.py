@@ -41,12 +41,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import written
-from .textbatch import chunks
+from .textbatch import chunks, thrifty
 
 CHUNK = 32_768
 SPACE = "▁"
-#: parts that are remembered, half of them in the older generation
-KEEP = 1 << 19
+#: parts that are remembered, half of them in the older generation, and neighbours
+KEEP = 1 << 18
+#: flags of parts that were met before, a byte each
+MET = 1 << 20
+#: starts that are remembered
+STARTS = 1 << 16
 #: characters of a remembered start
 NEAR = 5
 #: bytes of text that a worker takes at once
@@ -114,8 +118,11 @@ class Pieces(Vocabulary):
         self.paths: dict[str, tuple[int, ...]] = {}
         #: the generation before; what is met again moves to ``paths``
         self.older: dict[str, tuple[int, ...]] = {}
-        self.begun: dict[str, list[tuple[int, int]]] = {}
-        self.short: dict[str, list[tuple[int, int]]] = {}
+        self.met, self.n_met = bytearray(MET), 0
+        self.begun: dict[str, tuple[tuple[int, int], ...]] = {}
+        self.short: dict[str, tuple[tuple[int, int], ...]] = {}
+        #: one object for each piece and its length, which all starts share
+        self.same: dict[tuple[int, int], tuple[int, int]] = {}
 
     def merged_from(self, p: str) -> tuple[str, str] | None:
         """The two parts of a piece's last merge; None for single characters and for pieces
@@ -148,8 +155,12 @@ class Pieces(Vocabulary):
             return True
         key = a * len(self.text) + b
         fit = self.fits.get(key)
-        if fit is None:
-            fit = self.fits[key] = self._fit(self.text[a], self.text[b])
+        return self.judged(key, a, b) if fit is None else fit
+
+    def judged(self, key: int, a: int, b: int) -> bool:
+        if len(self.fits) >= KEEP:
+            self.fits.clear()
+        fit = self.fits[key] = self._fit(self.text[a], self.text[b])
         return fit
 
     def _fit(self, x: str, y: str) -> bool:
@@ -220,7 +231,7 @@ class Pieces(Vocabulary):
             else:
                 out.extend(self.byte[b] for b in chr(-2 - p).encode())
 
-    def starts(self, s: str, at: int) -> list[tuple[int, int]]:
+    def starts(self, s: str, at: int) -> tuple[tuple[int, int], ...]:
         """(piece, length) of the pieces of s at a place, longest first.  Those of up to ``NEAR``
         characters are remembered: in ``short`` if no longer piece starts so, in ``begun`` else."""
         near = s[at : at + NEAR]
@@ -229,9 +240,9 @@ class Pieces(Vocabulary):
             return out
         out = self.begun.get(near)
         if out is None:
-            out = self.starting(near, 0)[::-1]
+            out = tuple(self.same.setdefault(x, x) for x in self.starting(near, 0)[::-1])
             keep = self.begun if len(near) == NEAR and near in self.prefixes else self.short
-            if len(keep) >= KEEP // 2:
+            if len(keep) >= STARTS:
                 keep.clear()
             keep[near] = out
             if keep is self.short:
@@ -243,12 +254,12 @@ class Pieces(Vocabulary):
                 break
             if piece >= 0:
                 longer.append((piece, k - at))
-        return longer[::-1] + out if longer else out
+        return (*longer[::-1], *out) if longer else out
 
     def through(self, s: str) -> list[int]:
         """The one compatible path over s, longest pieces first.  A prefix has one path, so an
         end that was met before needs no second visit."""
-        fits, text, short, starts, size, n = self.fits, self.text, self.short, self.starts, len(self.text), len(s)
+        fits, short, starts, size, n = self.fits, self.short, self.starts, len(self.text), len(s)
         met, path, left, at, before = set(), [], [], 0, -1
         options = iter(short.get(s[:NEAR]) or starts(s, 0))
         while True:
@@ -260,7 +271,7 @@ class Pieces(Vocabulary):
                     key = before * size + piece
                     fit = fits.get(key)
                     if fit is None:
-                        fit = fits[key] = self._fit(text[before], text[piece])
+                        fit = self.judged(key, before, piece)
                     if not fit:
                         continue
                 met.add(end)
@@ -299,10 +310,21 @@ class Pieces(Vocabulary):
                 else:
                     out = path
             ids = tuple(out)
-            if len(s) <= 64:
+            if len(s) <= 64 and self.again(s):
                 self.remember(s, ids)
         return ids
 
+    def again(self, s: str) -> bool:
+        """Whether a part was met before (some others too, by chance): most are met once, and need no memory."""
+        at = hash(s) % MET
+        if self.met[at]:
+            return True
+        if self.n_met >= MET // 4:
+            self.met, self.n_met = bytearray(MET), 0
+        self.met[at] = 1
+        self.n_met += 1
+        return False
+
     def remember(self, s: str, ids: tuple[int, ...]) -> None:
         if len(self.paths) >= KEEP // 2:
             self.older, self.paths = self.paths, {}
@@ -482,9 +504,9 @@ def borders_of(steps: DataFrame) -> DataFrame:
 
     made = "key string, i int, x array<int>, y array<int>"
     none = F.lit(None).cast("array<int>")
-    tops = groups.mapInArrow(multiply, "key string, i int, " + STEP_SQL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "left", "right", "m"))).alias("steps"))
-    ends = tops.select("key", "steps", none.alias("x"), none.alias("y")).mapInArrow(trace, made).withColumnRenamed("i", "g")
-    return groups.join(ends, ["key", "g"]).select("key", "steps", "x", "y").mapInArrow(trace, made)
+    tops = groups.mapInArrow(thrifty(multiply), "key string, i int, " + STEP_SQL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "left", "right", "m"))).alias("steps"))
+    ends = tops.select("key", "steps", none.alias("x"), none.alias("y")).mapInArrow(thrifty(trace), made).withColumnRenamed("i", "g")
+    return groups.join(ends, ["key", "g"]).select("key", "steps", "x", "y").mapInArrow(thrifty(trace), made)
 
 
 def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -505,10 +527,9 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
             finally:
                 gc.enable()
             yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array([1] * len(ids), pa.int32())], names=["doc_id", "text", "ids", "n_chunks"])
-        pa.default_memory_pool().release_unused()  # the worker stays with its executor
 
     out = "doc_id long, text string, ids array<int>, n_chunks int"
-    small = docs.where(~is_giant).mapInArrow(whole, out)
+    small = docs.where(~is_giant).mapInArrow(thrifty(whole), out)
 
     giant = docs.where(is_giant).withColumn("key", F.sha2("text", 256))
     rows = _chunk_rows(giant.dropDuplicates(["key"]), chunk, halo).repartition("key", "i")
@@ -522,7 +543,7 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
                 out.append({"key": r["key"], "i": r["i"], "g": r["i"] // math.isqrt(r["n"]), "left": [list(x) for x in left], "right": [list(x) for x in right], "m": t.ravel().tolist()})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("i", pa.int32()), ("g", pa.int32()), *STEP]))
 
-    borders = borders_of(written(rows.mapInArrow(matrices, "key string, i int, g int, " + STEP_SQL)))
+    borders = borders_of(written(rows.mapInArrow(thrifty(matrices), "key string, i int, g int, " + STEP_SQL)))
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
@@ -531,7 +552,7 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
             ids = [m.traced(r["s"], r["at"], min(len(r["s"]), r["at"] + chunk), tuple(r["x"]), tuple(r["y"])) for r in rs]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["key", "i", "ids"])
 
-    traced = rows.join(borders, ["key", "i"]).select("key", "i", "s", "at", "x", "y").mapInArrow(back, "key string, i int, ids array<int>")
+    traced = rows.join(borders, ["key", "i"]).select("key", "i", "s", "at", "x", "y").mapInArrow(thrifty(back), "key string, i int, ids array<int>")
     encoded = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("c"))
     encoded = encoded.select("key", F.flatten(F.transform("c", lambda x: x["ids"])).alias("ids"), F.size("c").alias("n_chunks"))
     return small.unionByName(giant.join(encoded, "key").select("doc_id", "text", "ids", "n_chunks"))
@@ -548,7 +569,6 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
             flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
             texts = [m.decode(flat[i:j].tolist()) if valid else None for valid, i, j in zip(lists.is_valid().to_pylist(), at, at[1:])]
             yield pa.record_batch([*b.columns, pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "n_chunks", "decoded"])
-        pa.default_memory_pool().release_unused()
 
-    return encoded.select("doc_id", "text", "ids", "n_chunks").mapInArrow(task, "doc_id long, text string, ids array<int>, n_chunks int, decoded string")
+    return encoded.select("doc_id", "text", "ids", "n_chunks").mapInArrow(thrifty(task), "doc_id long, text string, ids array<int>, n_chunks int, decoded string")
 

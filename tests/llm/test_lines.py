@@ -1,5 +1,7 @@
 import itertools
 import random
+import subprocess
+import sys
 
 from tallyspark.llm import lines as m
 
@@ -181,3 +183,31 @@ def test_order_of_documents():
         got = m.Order(ids[0], ids[-1])(pa.array([None, *ids], pa.int64())).tolist()
         assert got == sorted(got) and got[0] == 0 < got[1]
     assert m.Order(None, None)(pa.array([None], pa.int64())).tolist() == [0]
+
+
+def test_a_worker_gives_memory_back():
+    """An idle worker stays with its executor, so what a task has used goes at its end."""
+    code = """
+import random, re
+import pyarrow as pa
+from tallyspark.llm import lines
+
+def mb():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+class Frame:
+    def select(self, *columns):
+        return self
+    def mapInArrow(self, task, schema):
+        return task
+
+rng = random.Random(4)
+words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+texts = ["\\n".join(" ".join(rng.choices(words, k=10)) for _ in range(40)) for _ in range(2000)]
+batches = [pa.record_batch([pa.array(range(k, k + 500)), pa.array(texts[k:k + 500])], names=["doc_id", "text"]) for k in range(0, 2000, 500)]
+before = mb()
+made = sum(b.num_rows for b in lines.entry_blocks(Frame(), 2, 40, 64, lines.Order(0, 2000))(iter(batches)))
+print(made, mb() - before)
+"""
+    made, left = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(made) and float(left) < 100

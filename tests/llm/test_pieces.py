@@ -79,3 +79,23 @@ def test_groups_fix_the_same_borders(spark):
     got = {r.i: (list(r.x), list(r.y)) for r in pieces.borders_of(df).collect()}
     assert {i: y for i, (_, y) in got.items()} == want
     assert all(got[i][0] == (got[i - 1][1] if i else list(pieces.BEGIN)) for i in got)
+
+
+def test_parts_met_once_are_not_remembered():
+    m, rng = pieces.Pieces(MODEL), random.Random(8)
+    words = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(3000)})
+    ids = m.encode(" ".join(words))
+    kept = sum(pieces.SPACE + w in m.paths for w in words)
+    assert kept < len(words) // 10
+    assert m.encode(" ".join(words)) == ids and all(pieces.SPACE + w in m.paths for w in words)
+
+
+def test_neighbours_and_starts_are_bounded(monkeypatch):
+    text = " ".join(odd_texts())
+    want = pieces.Pieces(MODEL).encode(text)
+    monkeypatch.setattr(pieces, "KEEP", 50)
+    monkeypatch.setattr(pieces, "STARTS", 20)
+    monkeypatch.setattr(pieces, "MET", 64)
+    m = pieces.Pieces(MODEL)
+    assert m.encode(text) == want == m.encode(text)
+    assert len(m.fits) <= 50 and len(m.paths) <= 25 and len(m.short) <= 20 and len(m.begun) <= 20
