@@ -58,17 +58,19 @@ def _exactly(fact: str) -> str:
     return f"cast({fact} as double)"
 
 
-def facts(spark: SparkSession, sf: str) -> DataFrame:
+def facts(spark: SparkSession, sf: str, exact: bool = True) -> DataFrame:
     """stock (supplier), period_end (year end), metric_key, value, fact_id, period_type, nature, created.
 
     Sums are exact and don't depend on the order of rows, so values that tie also compare as equal; a group
-    with a number of ``_LARGE`` or more, of more decimals, or that isn't finite has plain double sums.
+    with a number of ``_LARGE`` or more, of more decimals, or that isn't finite has plain double sums, as all
+    have if not ``exact``.
     """
     year = F.year("l_shipdate")
     lines = table(spark, sf, "lineitem")
     lines = lines.withColumns({f"__{c}": F.when(F.abs(c) < _LARGE, F.col(c)).try_cast("decimal(18,6)") for c in _ADDED})
     fine = F.bool_and(F.expr(" and ".join(f"{c} <=> cast(__{c} as double)" for c in _ADDED)))
-    rows = lines.groupBy(F.col("l_suppkey").alias("stock"), year.alias("year")).agg(*[F.when(fine, F.expr(_exactly(e))).otherwise(F.expr(e)).alias(k) for k, e in FACTS.items()])
+    added = lambda e: F.when(fine, F.expr(_exactly(e))).otherwise(F.expr(e)) if exact else F.expr(e)
+    rows = lines.groupBy(F.col("l_suppkey").alias("stock"), year.alias("year")).agg(*[added(e).alias(k) for k, e in FACTS.items()])
     long = rows.unpivot(["stock", "year"], [F.col(f"`{k}`") for k in FACTS], "metric_key", "value")
     end = F.make_date("year", F.lit(12), F.lit(31))
     return long.select("stock", end.alias("period_end"), "metric_key", "value", (F.col("stock") * 10000 + F.col("year")).alias("fact_id"), F.lit("FY").alias("period_type"), F.when(F.col("year") >= 2001, "estimate").otherwise("actual").alias("nature"), end.alias("created"))
